@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, splitting
+from lorewright.llm import components, pairs, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,8 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["p6_groups"] = _P6 + """, g AS (SELECT min(b) AS group_id, a FROM reach GROUP BY a)
 SELECT entity_id, coalesce(group_id, entity_id) AS group_id FROM known LEFT JOIN g ON a = entity_id"""
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(_table(spark, sf_dir, "rephrased_questions"), _table(spark, sf_dir, "preference_pairs"))
