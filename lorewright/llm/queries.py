@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, pairs, splitting
+from lorewright.llm import components, near_copies, overlap, pairs, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,29 @@ SELECT entity_id, coalesce(group_id, entity_id) AS group_id FROM known LEFT JOIN
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(_table(spark, sf_dir, "rephrased_questions"), _table(spark, sf_dir, "preference_pairs"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies.near_pairs(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context", n=3, t=0.6)
+    return found.select(F.col("a").alias("chunk_key_a"), F.col("b").alias("chunk_key_b"))
+
+
+@query
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_groups(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context", n=3, t=0.6)
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.split_records(_table(spark, sf_dir, "proposed_questions"), _table(spark, sf_dir, "rephrased_questions"))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.cross_split_overlaps(_splits(spark, sf_dir))
+    return found.select(F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b")).distinct()
+
+
+@query
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(_splits(spark, sf_dir))
