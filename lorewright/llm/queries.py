@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, near_copies, overlap, pairs, splitting
+from lorewright.llm import components, leaks, near_copies, overlap, pairs, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(_splits(spark, sf_dir))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "test_items"), "item_id", ["question", "passage"])
