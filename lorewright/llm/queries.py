@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, leaks, near_copies, overlap, pairs, splitting
+from lorewright.llm import components, forest, leaks, near_copies, overlap, pairs, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,22 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "test_items"), "item_id", ["question", "passage"])
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = forest.neighbours(_table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding", trees=16, block=2048, least=0.85)
+    return near.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+@query
+def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = forest.neighbours(_table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding")
+    return near.groupBy("vec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x.neighbour), ",").alias("top"))
+
+
+@query
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "chunk_vectors")
+    near = forest.neighbours(v, "vec_id", "embedding")
+    return forest.recall(near, forest.exact(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding"), "vec_id")
