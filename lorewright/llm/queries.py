@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, forest, leaks, near_copies, overlap, pairs, splitting
+from lorewright.llm import components, forest, leaks, near_copies, overlap, pairs, spam_pages, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,8 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "chunk_vectors")
     near = forest.neighbours(v, "vec_id", "embedding")
     return forest.recall(near, forest.exact(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding"), "vec_id")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages.spam_pages(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
