@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import components, forest, leaks, near_copies, overlap, pairs, spam_pages, splitting
+from lorewright.llm import components, containers, forest, leaks, near_copies, overlap, pairs, spam_pages, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,8 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages.spam_pages(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.pack(_table(spark, sf_dir, "documents"), "doc_id", "text")
