@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lorewright.plans import (  # noqa: F401  (importing registers the queries)
+    dataset_queries,
+    evaluation_queries,
+    graph_queries,
+    text_queries,
+)
+from lorewright.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
