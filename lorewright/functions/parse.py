@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lorewright.functions import ranges
 from lorewright.functions.text import trimmed
@@ -162,13 +163,13 @@ def _largest_value(s: str | None) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def first_json_block(s: pd.Series) -> pd.Series:
     """The first balanced {} block."""
     return s.map(_first_block)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def largest_json(s: pd.Series) -> pd.Series:
     """The longest parseable JSON object or array in the text, null without one."""
     return s.map(_largest_value)
