@@ -3,7 +3,7 @@
 The lines of a page are told apart by sentence punctuation (outside link targets). Lines without it, and sentences, are each
 gathered to blocks of about 900 bytes; the compression ratio of a block, divided by the ratio that prose of its length and
 script has, is its redundancy. Blocks without sentence punctuation are keyword stuffing where they are redundant; blocks with
-sentences only where they are extremely redundant (sentences that repeat one name). Lines that are nothing but links or tags
+sentences only where they are extremely redundant and three words make up most of them (sentences that repeat one name). Lines that are nothing but links or tags
 have no sentences at all; their targets count with them, images don't count. A page is reported if such material makes up more than half of its
 characters other than blanks.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,13 @@ def _blocks(lines: list[tuple[str, int]], size: int = 900) -> Iterator[tuple[str
         yield "\n".join(now), weight
 
 
+def _dominated(block: str) -> bool:
+    """Whether three words make up most of a block's sentences, as a name told over and over does. Sentences of one pattern
+    (a glossary, a repeated notice) are redundant, too, but not so."""
+    words = _WORD.findall(block.lower())
+    return len(words) >= 8 and sum(n for _, n in Counter(words).most_common(3)) > 0.38 * len(words)
+
+
 def stuffed_share(text: str | None, keyword: float = 0.92, repeated: float = 0.55) -> float:
     """Share of a page's characters, blanks apart, that is keywords, bare links, tags or repeated names."""
     if not text:
@@ -111,12 +119,8 @@ def stuffed_share(text: str | None, keyword: float = 0.92, repeated: float = 0.5
             stuffed += weight
     for block, weight in _blocks(prose):
         r = redundancy(block)
-        if r < repeated:
+        if r < (repeated if len(block) >= 400 else 0.8) and _dominated(block):
             stuffed += weight
-        elif len(block) < 400 and r < 0.8:
-            words = _WORD.findall(block.lower())
-            if len(words) >= 8 and len(set(words)) < 0.4 * len(words):
-                stuffed += weight
     return stuffed / total if total else 0.0
 
 
