@@ -338,3 +338,69 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = table(spark, sf_dir, "documents").select("doc_id", page.alias("html"), F.lit("wiki").alias("site"))
     return html.pages_to_markdown(d, "doc_id", "html", "site")
+
+
+@query(
+    f"""WITH {_R}, {_P}, l AS (SELECT question_id, variant_kind, max((step, variant_id)) AS x FROM v GROUP BY question_id, variant_kind),
+a AS (SELECT p.source, v.result AS query, p.chunk_key, v.variant_id FROM v JOIN l ON v.question_id = l.question_id AND v.variant_kind = l.variant_kind AND (v.step, v.variant_id) = l.x JOIN p ON p.question_id = v.question_id
+  WHERE v.result IS NOT NULL AND p.chunk_key IS NOT NULL)
+SELECT source, query, arg_max(chunk_key, variant_id) AS chunk_key FROM a GROUP BY source, query"""
+)
+def query_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last variants as queries with their positive chunk; of equal queries of a source the last one counts."""
+    last = builders.last_variants(_variants(spark, sf_dir)).select("variant_id", "question_id", F.col("result").alias("query"))
+    p = _proposed(spark, sf_dir).select("question_id", "source", "chunk_key")
+    d = last.join(p, "question_id").where("query is not null and chunk_key is not null")
+    return d.groupBy("source", "query").agg(F.max_by("chunk_key", "variant_id").alias("chunk_key"))
+
+
+@query(f"WITH {_R} SELECT source, variant_kind, count(*) AS examples FROM v GROUP BY source, variant_kind")
+def example_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).groupBy("source", "variant_kind").agg(F.count("*").alias("examples"))
+
+
+@query(
+    f"""WITH {_R} SELECT question_id, string_agg(CASE WHEN variant_kind = 'part' THEN 'Partial: ' ELSE 'Equivalent: ' END || coalesce(transformation, ''), '; ' ORDER BY (variant_kind = 'part'), step, variant_id) AS steps
+FROM v WHERE variant_kind IN ('full', 'part') GROUP BY question_id"""
+)
+def variant_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equivalent steps followed by partial ones, relabelled."""
+    part = F.col("variant_kind") == "part"
+    label = F.concat(F.when(part, "Partial: ").otherwise("Equivalent: "), F.coalesce("transformation", F.lit("")))
+    v = _variants(spark, sf_dir).where(F.col("variant_kind").isin("full", "part"))
+    g = v.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(part.alias("p"), "step", "variant_id", label.alias("l")))).alias("x"))  # bounded by the steps of a question
+    return g.select("question_id", F.array_join(F.transform("x", lambda s: s["l"]), "; ").alias("steps"))
+
+
+@query("WITH r AS (SELECT source, doc_id, epoch, row_number() OVER (PARTITION BY epoch, source ORDER BY md5((42 + epoch) || ':' || doc_id), doc_id) AS place FROM documents, (SELECT unnest([0, 1]) AS epoch)) SELECT * FROM r WHERE place <= 20")
+def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 documents of each source in the order of each epoch."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    out = None
+    for epoch in (0, 1):
+        w = Window.partitionBy("source").orderBy(tiers.sample_rank("doc_id", 42 + epoch), "doc_id")
+        e = d.withColumn("epoch", F.lit(epoch)).withColumn("place", F.row_number().over(w)).where("place <= 20")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query(r"WITH t AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '\[([^\]\n]*)\]\(([^)\n]*)\)', 2)) AS target FROM documents WHERE text IS NOT NULL), f AS (SELECT DISTINCT source, '/' || regexp_replace(rel_path, '\.md$', '') AS page FROM documents) SELECT doc_id, target, page IS NOT NULL AS known FROM t LEFT JOIN f ON f.source = t.source AND f.page = regexp_replace(target, '\.(md|html|htm)$', '')")
+def link_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a link's target is a document of its site, converted suffixes aside."""
+    d = table(spark, sf_dir, "documents")
+    t = d.select("doc_id", "source", F.explode(text.link_targets(F.col("text"))).alias("target")).withColumn("page", F.regexp_replace("target", r"\.(md|html|htm)$", ""))
+    f = d.select("source", F.concat(F.lit("/"), F.regexp_replace("rel_path", r"\.md$", "")).alias("page")).distinct().withColumn("hit", F.lit(True))
+    return t.join(f, ["source", "page"], "left").select("doc_id", "target", F.col("hit").isNotNull().alias("known"))
+
+
+@query(
+    """WITH s AS (SELECT question_id, avg(score) FILTER (is_same) AS pos, avg(score) FILTER (NOT is_same) AS neg FROM (SELECT DISTINCT left_entity_id AS question_id, match_id, is_same, score FROM entity_matches WHERE score IS NOT NULL AND left_entity_id IS NOT NULL) GROUP BY question_id)
+SELECT question_id AS entity_id, round(greatest(0, 0.5 - (pos - neg)), 6) AS loss FROM s WHERE pos IS NOT NULL AND neg IS NOT NULL"""
+)
+def margin_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score of an entity's confirmed matches against that of its refused ones."""
+    from lorewright.operators.retrieval import margin_loss
+
+    m = table(spark, sf_dir, "entity_matches").where("score is not null and left_entity_id is not null").select(F.col("left_entity_id").alias("entity_id"), "match_id", "is_same", "score").distinct()
+    s = m.groupBy("entity_id").agg(F.avg(F.when(F.col("is_same"), F.col("score"))).alias("pos"), F.avg(F.when(~F.col("is_same"), F.col("score"))).alias("neg")).where("pos is not null and neg is not null")
+    return s.select("entity_id", F.round(margin_loss(F.col("pos"), F.col("neg"), 0.5), 6).alias("loss"))

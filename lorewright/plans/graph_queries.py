@@ -161,3 +161,25 @@ def entity_resolution_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lots.join(first, ["group", "lot", "text"]).where("member <> into").select("member", "into")
 
     return graph.resolve_groups(e, resolver)
+
+
+@query(
+    f"""WITH {_CANON}, {_EDGES}, s2 AS (SELECT right_entity_id AS entity_id, min(left_entity_id) AS canonical_id FROM m WHERE is_same AND left_entity_id < right_entity_id GROUP BY right_entity_id)
+SELECT k.entity_id, coalesce(s2.canonical_id, k.canonical_id) AS canonical_id FROM k LEFT JOIN s2 ON s2.entity_id = k.canonical_id
+UNION ALL SELECT entity_id, canonical_id FROM s2 WHERE entity_id NOT IN (SELECT entity_id FROM k)"""
+)
+def map_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same-name ids mapped on by the judges' matches."""
+    s1 = graph.same_name_map(table(spark, sf_dir, "entities"))
+    m = _edges(spark, sf_dir).where("is_same and left_entity_id < right_entity_id")
+    s2 = m.groupBy(F.col("right_entity_id").alias("entity_id")).agg(F.min("left_entity_id").alias("canonical_id"))
+    return graph.compose(s1, s2)
+
+
+@query(f"WITH {_EDGES} SELECT judge, is_same, match_id, row_number() OVER (PARTITION BY judge ORDER BY is_same DESC NULLS LAST, score DESC NULLS LAST, match_id) AS place FROM m QUALIFY place <= 20")
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 surest matches of each judge."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("judge").orderBy(F.col("is_same").desc_nulls_last(), F.col("score").desc_nulls_last(), "match_id")
+    return _edges(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 20").select("judge", "is_same", "match_id", "place")
