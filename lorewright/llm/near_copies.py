@@ -186,6 +186,8 @@ def class_links(df: DataFrame, key: str, text: str, n: int, t: float, sigs: Data
     """(a, b, jaccard): all pairs of different classes with Jaccard of at least t. sigs: materialized signatures of df.
 
     frequent is the highest frequency class (2 * log2 of the count) whose tokens are indexed one by one."""
+    if not 0.5 < t <= 1:
+        raise ValueError("t must lie above 0.5 and be at most 1")
     spark = df.sparkSession
     classes = spark.sparkContext.broadcast(sketch.frequency_classes(sketch.text_column(df, text), functools.partial(_sets, n=n), bits))  # 2**bits bytes
     pairs = entries(df, text, n, t, classes, bits, frequent).repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet(t), "a bigint, b bigint").distinct()

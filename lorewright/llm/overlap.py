@@ -2,11 +2,11 @@
 
 Every record becomes a passage: its distinct words, rare ones first (count sketch over all rows). The evaluation passages
 are sharded; each shard builds one Aho-Corasick automaton over the words of its passages and scans the training passages
-that may concern it from end to end. A match early in both passages makes an evaluation record a candidate, and the matched
+that may concern it from end to end. A match early enough in both passages makes an evaluation record a candidate, and the matched
 intervals of the whole scan, merged, are its coverage: the exact number of shared words, from which the similarity follows.
 
-Completeness: two sets with Jaccard of at least t share a word within their first size - overlap + 1 words. A passage is
-sent to the shards of those words only; records with equal sets are one class, so a hot text is scanned once per split;
+Completeness: the first word that two sets with Jaccard of at least t share stands within the first size - overlap + 1 words
+of both; places that allow it are told by size and position. A passage is sent to the shards of its leading words only; records with equal sets are one class, so a hot text is scanned once per split;
 shards that many training passages reach are split into blocks.
 
 Defined results: null and blank texts have no words and match nothing; null ids and splits take no part; case and outer
@@ -101,7 +101,7 @@ def leading_words(evals: DataFrame, bits: int = 20) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bit).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << bits, bool)
-    for r in b.repartition(8).mapInArrow(pack, "bits binary").toLocalIterator():
+    for r in b.repartition(8).mapInArrow(pack, "bits binary").collect():  # 8 rows of 2**bits / 8 bytes
         out |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     return out
 
@@ -111,41 +111,48 @@ def scan(evals: list[tuple[int, str, list[int]]], trains: Iterator[tuple[int, st
     import ahocorasick
 
     number: dict[str, int] = {}
-    sets, sizes, post = [], [], {}
+    sets, sizes = [], []
+    post: dict[int, dict[tuple[int, int], list[int]]] = {}  # leading word: (size, position): evaluation passages
     for e, (_, passage, lead) in enumerate(evals):
-        ws = passage.split(" ")
-        ns = [number.setdefault(w, len(number)) for w in ws]
+        ns = [number.setdefault(w, len(number)) for w in passage.split(" ")]
         sets.append(frozenset(ns))
         sizes.append(len(ns))
         for i, x in enumerate(lead):
             if x % shards == shard:
-                post.setdefault(ns[i], []).append((e, i))
+                post.setdefault(ns[i], {}).setdefault((len(ns), i), []).append(e)
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for w, n in number.items():
         machine.add_word(f" {w} ", n)
     machine.make_automaton()
+    places = {(a, i) for g in post.values() for a, i in g}
     share = t / (1 + t)
-    need_of: dict[tuple[int, int], int] = {}
+
+    @lru_cache(None)
+    def fit(b: int, j: int) -> frozenset[tuple[int, int]]:
+        """The places of an evaluation passage whose word may be the first one shared with place j of a passage of b words."""
+        need = {a: int(np.ceil(share * (a + b) - 1e-9)) for a, _ in places}
+        return frozenset((a, i) for a, i in places if i <= a - need[a] and j <= b - need[a])
+
+    @lru_cache(None)
+    def leading(b: int) -> int:
+        return b - int(np.ceil(t * b - 1e-9)) + 1
+
     for cls, passage in trains:
         text = f" {passage} "
         b = passage.count(" ") + 1
         hits = list(machine.iter(text))  # (end, word): matched intervals of one word each, in order
-        most = b - int(np.ceil(t * b - 1e-9))
         found: set[int] = set()
         for end, n in hits:
-            p = post.get(n)
-            if p is None:
+            groups = post.get(n)
+            if groups is None:
                 continue
             j = text.count(" ", 0, end) - 1
-            if j > most:
+            if j >= leading(b):
                 break
-            for e, i in p:
-                a = sizes[e]
-                need = need_of.get((a, b))
-                if need is None:
-                    need = need_of[(a, b)] = int(np.ceil(share * (a + b) - 1e-9))
-                if i <= a - need and j <= b - need:
-                    found.add(e)
+            may = fit(b, j)
+            for place, p in groups.items():
+                if place in may:
+                    found.update(p)
         if found:
             # neighbouring intervals share their blank; merged, they cover one word per distinct match
             matched = {n for _, n in hits}
@@ -156,7 +163,7 @@ def scan(evals: list[tuple[int, str, list[int]]], trains: Iterator[tuple[int, st
                     yield evals[e][0], cls, c, jac
 
 
-def class_overlaps(evals: DataFrame, trains: DataFrame, t: float, per_shard: int = 120_000, per_block: int = 100_000) -> DataFrame:
+def class_overlaps(evals: DataFrame, trains: DataFrame, t: float, per_shard: int = 60_000, per_block: int = 50_000) -> DataFrame:
     """(e, r, coverage, jaccard): evaluation class, training class, share of the evaluation passage's words that the training
     passage covers, and similarity. evals and trains: (cls, passage, lead)."""
     spark = evals.sparkSession
@@ -205,6 +212,8 @@ def class_overlaps(evals: DataFrame, trains: DataFrame, t: float, per_shard: int
 def cross_split_overlaps(records: DataFrame, t: float = 0.75, bits: int = 18) -> DataFrame:
     """(eval_id, train_id, coverage, jaccard): all pairs of an evaluation and a training record whose sets of distinct words
     have a Jaccard similarity of at least t. records: (record_id, train boolean, text)."""
+    if not 0 < t <= 1:
+        raise ValueError("t must lie above 0 and be at most 1")
     spark = records.sparkSession
     records = records.where("record_id is not null and train is not null and text is not null")
     classes = spark.sparkContext.broadcast(sketch.frequency_classes(records.select("text"), _word_sets, bits))
