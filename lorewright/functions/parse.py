@@ -31,7 +31,7 @@ def facts(t: Column) -> Column:
     one by one, so a range given as 1-3 stands for its two ends."""
 
     def sens(s: Column) -> Column:
-        ids = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0)).cast("array<bigint>")))
+        ids = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))))
         return ranges.compress_facts(ids)
 
     return F.zip_with(_all(t, _FACT, 1), _all(t, _FACT, 2), lambda d, s: F.struct(trimmed(d).alias("fact"), sens(s).alias("sens")))
@@ -93,7 +93,7 @@ def reorderings(t: Column) -> Column:
     """array of (step, reordered_question, same_meaning)."""
     p = r"(?s)<question-(\d+)>\s*<transformed-question>(.*?)</transformed-question>\s*<same-meaning-with-origin>(True|False)</same-meaning-with-origin>\s*</question-\d+>"
     cols = F.arrays_zip(*[_all(t, p, i).alias(f"g{i}") for i in (1, 2, 3)])
-    return F.transform(cols, lambda x: F.struct(x["g1"].cast("int").alias("step"), trimmed(x["g2"]).alias("reordered_question"), (x["g3"] == "True").alias("same_meaning")))
+    return F.transform(cols, lambda x: F.struct(x["g1"].try_cast("int").alias("step"), trimmed(x["g2"]).alias("reordered_question"), (x["g3"] == "True").alias("same_meaning")))
 
 
 def final_answers(t: Column) -> Column:
