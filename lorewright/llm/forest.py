@@ -7,7 +7,8 @@ block). In a block all cosines are exact, by one matrix product. The candidates
 
 Cost is linear: vectors x trees x block. What is lost are neighbours that share no block with the vector in any tree; it is
 measured by ``recall`` against an exact search. Close neighbours are lost least: with the defaults none of cosine 0.85 or
-more was missed in the measurements told in the README.
+more was missed in the measurements told in the README. Distant ones are lost more the larger the table is; where all k must
+come out whatever their cosine, ``all_neighbours`` compares all vectors with all, at quadratic cost.
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part; equal vectors are one class,
 searched once and expanded to at most k neighbours each; ties go to the smaller id; repeated rows count once; fewer than
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,16 +140,8 @@ def _block_candidates(dim: int, k: int, block: int, least: float | None):
     return run
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int = 24, block: int = 4096, least: float | None = None, seed: int = 7, part_rows: int = 16384) -> DataFrame:
-    """(key, neighbour, cosine, rank): the k most similar other vectors of every usable vector, best first; with ``least``
-    only those of at least that cosine."""
-    vectors = materialize(usable(df, key, vector, dim), "vectors")
-    one = vectors.groupBy("cls").agg(F.first("v").alias("v"))
-    rows = vectors.select(F.approx_count_distinct("cls")).first()[0]
-    parts = max(1, -(-rows * trees // part_rows))
-    near = strings(one, dim, trees, seed).repartitionByRange(parts, "tree", "code").sortWithinPartitions("tree", "code").mapInArrow(_block_candidates(dim, k, block, least), "a bigint, b bigint, cosine float")
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    near = near.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+def _expanded(vectors: DataFrame, one: DataFrame, near: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, neighbour, cosine, rank) of the k best of every vector, from those of every class: near (a, b, cosine)."""
     member = vectors.select("key", "cls").distinct()
     few = member.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where(F.col("r") <= k + 1)
     pairs = near.union(one.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).cast("float").alias("cosine")))
@@ -163,6 +157,95 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10,
     )
 
 
+def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int = 24, block: int = 4096, least: float | None = None, seed: int = 7, part_rows: int = 16384) -> DataFrame:
+    """(key, neighbour, cosine, rank): the k most similar other vectors of every usable vector, best first; with ``least``
+    only those of at least that cosine."""
+    vectors = materialize(usable(df, key, vector, dim), "vectors")
+    one = vectors.groupBy("cls").agg(F.first("v").alias("v"))
+    rows = vectors.select(F.approx_count_distinct("cls")).first()[0]
+    parts = max(1, -(-rows * trees // part_rows))
+    near = strings(one, dim, trees, seed).repartitionByRange(parts, "tree", "code").sortWithinPartitions("tree", "code").mapInArrow(_block_candidates(dim, k, block, least), "a bigint, b bigint, cosine float")
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    near = near.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return _expanded(vectors, one, near, key, k)
+
+
+def _better(s: np.ndarray, c: np.ndarray, row: np.ndarray, cos: np.ndarray, cls: np.ndarray) -> None:
+    """Put candidates (row, cos, cls) among the k best (s, c) of their rows, the best last; ties go to the smaller class."""
+    k = s.shape[1]
+    at = np.unique(row)
+    r = np.concatenate([row, np.repeat(at, k)])
+    cos, cls = np.concatenate([cos, s[at].ravel()]), np.concatenate([cls, c[at].ravel()])
+    order = np.lexsort((-cls, cos, r))  # the last k of each row stay
+    last = np.searchsorted(r[order], at, "right")
+    keep = order[last[:, None] - np.arange(k, 0, -1)]
+    s[at], c[at] = cos[keep], cls[keep]
+
+
+def _square_candidates(dim: int, k: int):
+    """The k best of the partition's own vectors, which come first, among them and all others, which are read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, xs, rest = [], [], iter(batches)
+        first: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in rest:
+            own = int(pc.sum(b.column(1)).as_py() or 0)
+            cls, v = b.column(2).to_numpy(), _vectors(b.column(3), dim)
+            ids.append(cls[:own])
+            xs.append(v[:own])
+            if own < len(cls):
+                first.append((cls[own:], v[own:]))
+                break
+        if not sum(map(len, ids)):
+            return
+        ids, x = np.concatenate(ids), np.concatenate(xs)
+        s, c = np.full((len(x), k), -2, np.float32), np.full((len(x), k), np.iinfo(np.int64).max)
+        room = np.empty(512 * 2048, np.float32)
+
+        def compare(cls: np.ndarray, y: np.ndarray, own: bool) -> None:
+            for j in range(0, len(y), 2048):
+                yt, n = y[j : j + 2048].T, len(y[j : j + 2048])
+                for i in range(0, len(x), 512):
+                    q = x[i : i + 512]
+                    m = np.matmul(q, yt, out=room[: len(q) * n].reshape(len(q), n))
+                    if own:
+                        same = np.arange(max(i, j), min(i + len(q), j + n))
+                        m[same - i, same - j] = -3
+                    if s[i, 0] == -2 and n > k:  # nothing known yet: nearly all would be candidates
+                        col = np.argpartition(m, n - k, axis=1)[:, n - k :]
+                        row, col = np.repeat(np.arange(len(q)), k), col.ravel()
+                    else:
+                        row, col = np.divmod(np.flatnonzero(m >= s[i : i + 512, :1]), n)
+                    cos = m[row, col]
+                    if len(row):
+                        ok = cos > -2
+                        _better(s[i : i + 512], c[i : i + 512], row[ok], cos[ok], cls[j : j + 2048][col[ok]])
+
+        compare(ids, x, True)
+        for cls, v in first:
+            compare(cls, v, False)
+        for b in rest:
+            compare(b.column(2).to_numpy(), _vectors(b.column(3), dim), False)
+        for i in range(0, len(x), 8192):
+            row, col = np.nonzero(s[i : i + 8192] > -2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(c[i + row, col]), pa.array(s[i + row, col])], names=["a", "b", "cosine"])
+
+    return run
+
+
+def all_neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, part_rows: int = 32768) -> DataFrame:
+    """As neighbours, by comparing all with all: nothing is lost at any size. Each partition has its own vectors, at most
+    about part_rows, and reads all others as a stream: the shuffle is vectors x partitions, the cost quadratic."""
+    vectors = materialize(usable(df, key, vector, dim), "vectors")
+    one = materialize(vectors.groupBy("cls").agg(F.first("v").alias("v")), "classes")
+    rows = one.count()
+    parts = max(-(-rows // part_rows), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // 512)), 1)
+    mine = F.pmod("cls", F.lit(parts)).cast("int")
+    seen = one.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cls", "v").select("part", (F.col("part") == mine).alias("own"), "cls", "v")
+    near = seen.repartitionById(parts, "part").sortWithinPartitions(F.desc("own")).mapInArrow(_square_candidates(dim, k), "a bigint, b bigint, cosine float")
+    return _expanded(vectors, one, near, key, k)
+
+
 def exact(queries: DataFrame, df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, per_pass: int = 8192) -> DataFrame:
     """As neighbours, for the rows of ``queries`` by comparing each with all rows of df, in blocks of queries: a pass over
     df holds at most per_pass queries, whatever their number."""

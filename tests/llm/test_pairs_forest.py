@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from lorewright.llm import forest, pairs
+from lorewright.llm import forest, pairs, queries
 
 Q = "Which signed form must be sent to Dafo before Miru renews the visa letter?"
 A = "Dafo decides about the signed form, while Miru only keeps the letter on file for 12 months."
@@ -122,3 +124,26 @@ def test_blocks_are_bounded_and_cut_at_short_prefixes():
     code = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 1000))
     b = forest.blocks(code, 64)
     assert b[0][0] == 0 and b[-1][1] == 1000 and all(x[1] == y[0] for x, y in zip(b, b[1:])) and all(0 < e - s <= 64 for s, e in b)
+
+
+def test_top10_is_whole_where_blocks_are_a_small_part(spark, tmp_path):
+    n = 24000
+    x = np.random.default_rng(5).standard_normal((n, 96)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 96).cast(pa.list_(pa.float32()))}), tmp_path / "chunk_vectors.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[:1000] @ u.T
+    s[np.arange(1000), np.arange(1000)] = -2
+    want = {(i, int(j)) for i, r in enumerate(s) for j in np.argpartition(-r, 9)[:10]}
+    got = {(r.vec_id, int(j)) for r in queries.p3_top10(spark, str(tmp_path)).where("vec_id < 1000").collect() for j in r.top.split(",")}
+    assert len(got) == 10000 and len(got & want) >= 9998  # two may tie in single precision
+
+
+def test_comparing_all_with_all_takes_what_the_forest_takes(spark):
+    x = vectors(1400)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, x[0].tolist()) for i in range(30)] + [(3000, None), (3001, [0.0] * 16)], "vec_id bigint, v array<float>")
+    a = {(r.vec_id, r.rank): (r.neighbour, round(r.cosine, 4)) for r in forest.neighbours(df, "vec_id", "v", dim=16, k=5, trees=1).collect()}
+    b = {(r.vec_id, r.rank): (r.neighbour, round(r.cosine, 4)) for r in forest.all_neighbours(df, "vec_id", "v", dim=16, k=5, part_rows=300).collect()}
+    assert a.keys() == b.keys() and sum(a[p] == b[p] for p in a) >= len(a) - 10
+    assert forest.all_neighbours(df.limit(0), "vec_id", "v", dim=16).collect() == []
+    few = forest.all_neighbours(df.where("vec_id < 3"), "vec_id", "v", dim=16).collect()
+    assert {(r.vec_id, r.neighbour) for r in few} == {(i, j) for i in range(3) for j in range(3) if i != j}
