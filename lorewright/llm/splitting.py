@@ -4,9 +4,10 @@ Every boundary has a strength (paragraph 5, line 4, sentence end 3, clause 2, bl
 permissible length window comes from a sparse-table range-maximum index over the boundaries of the text, ties going to the
 right; the next piece starts an overlap further back, itself at the strongest boundary near that point.
 
-Defined results: null, empty and short texts give no pieces; a window without any boundary is cut at the limit (forced);
-lengths are Unicode code points; every character lies in a piece, no piece exceeds the limit; repeated rows of a key give the
-same pieces, returned once. Extra columns are ignored.
+Defined results: null, empty and short texts give no pieces; a window without any boundary is cut at the limit (forced); the
+overlap is given up only after a natural cut, where the end of a run of nearly the limit comes into reach by that; lengths
+are Unicode code points; every character lies in a piece, no piece exceeds the limit; repeated rows of a key give the same
+pieces, returned once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,12 +98,12 @@ def cut(cp: np.ndarray, limit: int = 4000, overlap: int = 200, least: float = 0.
         end = strongest(lo, start + limit)
         if end is None:
             end = strongest(max(start + 1, done + 1), start + limit)
-        forced = end is None and start < done  # first give up the overlap
-        if forced:
-            start = done
+        if end is None and start < done and not pieces[-1][2] and (n - done <= limit or strongest(done + 1, done + limit) is not None):
+            start = done  # without the overlap the end of the run is in reach
             continue
-        if end is None:
-            end, forced = start + limit, True
+        forced = end is None
+        if forced:
+            end = start + limit
         pieces.append((start, end, forced))
         done = end
         back = strongest(max(start + 1, end - overlap - overlap // 4), end - overlap + overlap // 4) if overlap else end

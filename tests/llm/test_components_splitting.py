@@ -76,6 +76,18 @@ def test_overlap_and_strongest_cut():
     assert not any(f for *_, f in pieces)
 
 
+def test_forced_cuts_keep_the_overlap():
+    assert splitting.cut(wh.code_points("x" * 10000)) == [(0, 4000, True), (3800, 7800, True), (7600, 10000, False)]
+    for text in ("a b. " * 300 + "x" * 8000 + " c" * 50, "x" * 4100 + " " + "y" * 9000, "x" * 11700, "x" * 7900 + " end. " * 900):
+        pieces = splitting.cut(wh.code_points(text))
+        assert any(f for *_, f in pieces)
+        for (_, e, forced), (s, _, _) in zip(pieces, pieces[1:]):
+            assert not forced or 150 <= e - s <= 250
+    # a run just under the limit after a boundary: given up, and the piece ends at the run's end
+    assert not any(f for *_, f in splitting.cut(wh.code_points("x" * 4000 + " " + "y" * 4000)))
+    assert (5000, 9000, False) in splitting.cut(wh.code_points("w " * 2500 + "x" * 3990 + " " + "y " * 100))
+
+
 def test_range_max_against_brute_force():
     v = np.random.default_rng(0).integers(0, 50, 200)
     r = splitting.RangeMax(v)
