@@ -127,35 +127,46 @@ def resolve_groups(groups: DataFrame, resolver, size: int = 10, max_merges: int
 
     Each round deals the live members of a group to lots of ``size`` in an order that changes with the round; ``resolver``
     takes a frame (group, lot, member, text) and returns (member, into); an answer that names a member of another lot is
-    dropped and its member stays. Ends after ``max_merges`` rounds that merged or ``idle`` that didn't.
-    Returns (member, canonical)."""
+    dropped and its member stays. A group leaves after ``max_merges`` rounds that merged in it or ``idle`` that didn't,
+    whatever the other groups do; ends when no group is left. Returns (member, canonical)."""
     spark = groups.sparkSession
-    at = write_stage(groups.select("group", "member", "text", F.col("member").alias("canonical")), "resolve")
-    merged = quiet = turn = 0
-    while merged < max_merges and quiet < idle:
+    none = F.lit(0)
+    at = write_stage(groups.select("group", "member", "text", F.col("member").alias("canonical"), none.alias("merged"), none.alias("quiet")), "resolve")
+    active = (F.col("merged") < max_merges) & (F.col("quiet") < idle)
+    for turn in range(max_merges + idle):
         now = spark.read.parquet(at)
-        live = now.where(F.col("canonical") == F.col("member"))
+        live = now.where(active & (F.col("canonical") == F.col("member")))
         w = Window.partitionBy("group").orderBy(F.md5(F.concat(F.lit(f"{turn}:"), F.col("member").cast("string"))))
         lots = live.withColumn("lot", ((F.row_number().over(w) - 1) / size).cast("int")).select("group", "lot", "member", "text")
         lots = materialize(lots, "lots")
+        if lots.isEmpty():
+            break
         said = resolver(lots).select("member", "into")
         ok = said.join(lots.select("member", "group", "lot"), "member").join(lots.select(F.col("member").alias("into"), F.col("group").alias("g2"), F.col("lot").alias("l2")), "into")
-        ok = ok.where("group = g2 and lot = l2 and into < member").groupBy("member").agg(F.min("into").alias("into"))
+        ok = ok.where("group = g2 and lot = l2 and into < member").groupBy("group", "member").agg(F.min("into").alias("into"))
         ok = materialize(ok, "merged")
-        turn += 1
-        if ok.isEmpty():
-            quiet += 1
-            continue
-        merged += 1
+        hit = ok.select(F.col("group").alias("g2"), F.lit(True).alias("hit")).distinct()
         # chains inside a round are closed by following each answer until it stands still
-        for _ in range(64):
-            t = ok.select(F.col("member").alias("into"), F.col("into").alias("on"))
-            nxt = materialize(ok.join(t, "into", "left").select("member", F.coalesce("on", "into").alias("into"), F.col("on").isNotNull().alias("moved")), "merged")
-            ok = nxt.select("member", "into")
+        for _ in range(0 if ok.isEmpty() else 64):
+            t = ok.select("group", F.col("member").alias("into"), F.col("into").alias("on"))
+            nxt = materialize(ok.join(t, ["group", "into"], "left").select("group", "member", F.coalesce("on", "into").alias("into"), F.col("on").isNotNull().alias("moved")), "merged")
+            ok = nxt.select("group", "member", "into")
             if nxt.where("moved").isEmpty():
                 break
-        m = ok.select(F.col("member").alias("canonical"), "into")
-        at2 = write_stage(now.join(m, "canonical", "left").select("group", "member", "text", F.coalesce("into", "canonical").alias("canonical")), "resolve")
+        m = ok.select("group", F.col("member").alias("canonical"), "into")
+        one, merges = F.when(active, 1).otherwise(0), F.col("hit").isNotNull()
+        after = now.join(m, ["group", "canonical"], "left").join(hit, F.col("group") == F.col("g2"), "left")
+        at2 = write_stage(
+            after.select(
+                "group",
+                "member",
+                "text",
+                F.coalesce("into", "canonical").alias("canonical"),
+                (F.col("merged") + F.when(merges, one).otherwise(0)).alias("merged"),
+                (F.col("quiet") + F.when(merges, 0).otherwise(one)).alias("quiet"),
+            ),
+            "resolve",
+        )
         drop_stage(spark, at)
         at = at2
     return spark.read.parquet(at).select("member", "canonical")

@@ -119,6 +119,21 @@ def test_resolution_rounds(spark):
     assert len(got) == 30 and set(got.values()) == {0, 1, 2} and all(got[i] % 3 == i % 3 for i in got)
 
 
+def test_resolution_counts_rounds_per_group(spark):
+    g = spark.createDataFrame([(n, 100 * k + i, "t") for k, n in enumerate("abc") for i in range(9)], "group string, member bigint, text string")
+    seen = []
+
+    def resolver(lots):
+        """One member less a round: in a at once, in b from the second round on, in c never."""
+        seen.append({r.group for r in lots.select("group").distinct().collect()})
+        pair = lots.groupBy("group", "lot").agg(F.max("member").alias("member"), F.min("member").alias("into"))
+        return pair.where("group = 'a'" if len(seen) == 1 else "group in ('a', 'b')").select("member", "into")
+
+    got = {r.member: r.canonical for r in graph.resolve_groups(g, resolver).collect()}
+    assert len(got) == 27 and seen == [set("abc")] * 2 + [set("ab")] * 3 + [{"b"}]
+    assert [sum(got[100 * k + i] != 100 * k + i for i in range(9)) for k in range(3)] == [5, 5, 0]
+
+
 def test_preference_rows(spark):
     rows = [(1, "content", None, "p", "good", "bad", True), (2, "content", None, "p", "good", "bad", False), (3, "content", "full", "p", "good", "bad", False), (4, "entity_graph", "full", "p", "good", "bad", False), (5, "content", None, "p", "good", None, True)]
     df = spark.createDataFrame(rows, "record_id bigint, flavour string, variant string, prompt string, standard string, generated string, found boolean")
