@@ -111,8 +111,8 @@ def is_empty(t: Text | None) -> bool:
     return t is None or (len(t.plain) < 40 or not t.words) and bool(_NOTHING.match(t.plain))
 
 
-# a sentence that declines has one of these; the expression is tried only then
-_TRIGGER = frozenset("t cannot not decline refuse rather no nothing beyond silent don won isn nicht kein keine pas disent dicen".split())
+# every alternative of the expression without Han characters holds one of these; it is tried only then
+_TRIGGER = ("n't", "n’t", "not", "no ", "cant", "unable", "decline", "refuse", "beyond", "silent", "nicht", "keine", "peux", "puis", "suis", "disent")
 
 
 def is_refusal(t: Text) -> bool:
@@ -126,7 +126,7 @@ def is_refusal(t: Text) -> bool:
         words = _WORD.findall(s)
         if not words:
             continue
-        if len(s) < 200 and (han or not _TRIGGER.isdisjoint(words)) and _REFUSAL.search(s):
+        if (han or any(w in s for w in _TRIGGER)) and _REFUSAL.search(s):
             found = True
         elif len(words) > 12 or not _FILLER.match(s):
             return False

@@ -49,6 +49,29 @@ def test_rules(text, question, want):
     assert pairs.rule(text, question) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I'm unable to help with that.",
+        "I am unable to answer this question.",
+        "Je ne peux répondre.",
+        "Je ne puis vous aider.",
+        "I cant answer that.",
+        "I'm sorry, but I can't help with this request, because what you have asked me for here concerns, as far as I can see, the letter that Dafo has signed and that Miru has kept on file in the office ever since the twelve months were over.",
+        "I must decline.",
+        "I'd rather not say.",
+        "That is beyond what I can tell.",
+        "The documents are silent on that.",
+        "Dazu liegen mir keine Daten vor.",
+        "Les textes n'en disent rien.",
+        "Los textos no dicen nada de eso.",
+        "Eso no puedo responder.",
+    ],
+)
+def test_every_way_to_decline(text):
+    assert pairs.rule(text, Q) == "refusal"
+
+
 def test_shortened_versions():
     full = "The letter stays valid for 365 weeks. Dafo signs it."
     assert pairs._shortened_of(full[:20], full)
