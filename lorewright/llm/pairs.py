@@ -1,8 +1,8 @@
 """Problem 4: defective answers of question-answer and prompt-response pairs, each with its kind of defect.
 
 Two sources of evidence. Rules look at one pair: empty, refusal, copy, other_language, and answers that break off. The
-collection adds what one pair can't show: all distinct responses are sorted, and a response that is a proper prefix of its
-neighbour and ends inside a sentence of it is a shortened version; response lengths at which unfinished texts pile up are
+collection adds what one pair can't show: all distinct responses are sorted, and a response that is a proper prefix of a
+later one and ends inside a sentence of it is a shortened version; response lengths at which unfinished texts pile up are
 length limits, and unfinished texts of such a length are cut.
 
 Defined results: a null or blank text is ``empty`` (a null question too, then only empty, refusal and truncated are told);
@@ -238,34 +238,51 @@ def _shortened_of(t: str, longer: str) -> bool:
 
 def shortened(texts: DataFrame) -> DataFrame:
     """(h) of the texts that are shortened versions of another one. texts: (text). Repeated texts are merged before the sort;
-    the sort is a range partitioning, each partition is read as a stream, and the last text of a partition meets the first
-    one of the next through a table of one row per partition."""
+    the sort is a range partitioning, each partition is read as a stream. What begins with a text follows it without a gap,
+    so the stream keeps a stack of texts, each the beginning of the next, that no follower has yet shown to be shortened.
+    Those left at the end of a partition meet the first text of the next one on the driver; where that goes on without
+    showing it, one more pass over the texts looks for one that does."""
     schema = "kind string, part int, h bigint, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last, first = TaskContext.get().partitionId(), None, None
+        part, stack, first = TaskContext.get().partitionId(), [], None
         for b in batches:
             out = []
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if last is None:
-                    first = (t, h)
-                elif _shortened_of(last[0], t):
-                    out.append(last[1])
-                last = (t, h)
+                first = first or (t, h)
+                while stack and not t.startswith(stack[-1][0]):
+                    stack.pop()
+                if stack:
+                    hits = {x[1] for x in stack if _shortened_of(x[0], t)}
+                    out += hits
+                    stack = [x for x in stack if x[1] not in hits]
+                stack.append((t, h))
             if out:
                 yield pa.RecordBatch.from_pydict({"kind": ["hit"] * len(out), "part": pa.array([part] * len(out), pa.int32()), "h": out, "text": pa.nulls(len(out), pa.string())})
-        if last is not None:
-            yield pa.RecordBatch.from_pydict({"kind": ["first", "last"], "part": pa.array([part] * 2, pa.int32()), "h": [first[1], last[1]], "text": [first[0], last[0]]})
+        if first is not None:
+            left = [first, *stack]
+            yield pa.RecordBatch.from_pydict({"kind": ["first"] + ["open"] * len(stack), "part": pa.array([part] * len(left), pa.int32()), "h": [h for _, h in left], "text": [t for t, _ in left]})
+
+    distinct = texts.where("text is not null").groupBy("text").agg(F.expr(_HASH).alias("h"))
+    out = materialize(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, schema), "neighbours")
+    edge = out.where("kind <> 'hit'").collect()  # a row per partition, and its open texts, each the beginning of the next
+    first = sorted((r.part, r.text) for r in edge if r.kind == "first")
+    after = {p: t for (p, _), (_, t) in zip(first, first[1:])}
+    near = [r for r in edge if r.kind == "open" and after.get(r.part, "").startswith(r.text)]
+    hits = [r.h for r in near if _shortened_of(r.text, after[r.part])]
+    found = out.where("kind = 'hit'").select("h").union(out.sparkSession.createDataFrame([(h,) for h in hits], "h bigint"))
+    rest = [(r.text, r.h) for r in near if not _shortened_of(r.text, after[r.part])]
+    if not rest:
+        return found
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tx = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([h for x, h in rest if any(_shortened_of(x, t) for t in tx)], pa.int64())], names=["h"])
 
-    out = materialize(
-        texts.where("text is not null").groupBy("text").agg(F.expr(_HASH).alias("h")).repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, schema),
-        "neighbours",
-    )
-    edge = out.where("kind <> 'hit'").orderBy("part", "kind").collect()  # two rows per partition
-    hits = [r.h for r, s in zip(edge, edge[1:]) if r.kind == "last" and s.kind == "first" and _shortened_of(r.text, s.text)]
-    return out.where("kind = 'hit'").select("h").union(out.sparkSession.createDataFrame([(h,) for h in hits], "h bigint"))
+    return found.union(texts.where("text is not null").select("text").mapInArrow(look, "h bigint"))
 
 
 def length_limits(judged: DataFrame, least: int = 100, times: float = 8.0) -> list[int]:

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lorewright.llm import forest, pairs, queries
 
@@ -89,6 +90,20 @@ def test_defects_over_a_collection(spark):
     assert pairs.defects(df.limit(0)).collect() == []
 
 
+def test_shortened_versions_behind_followers_that_do_not_count(spark):
+    t = ["Dafo Miru", "Dafo Miru [Clue 3].", "Dafo Miru\nholds it", "Dafo Miru.", "Dafo Miru signs", "Dafo Miru signs [Clue 1]", "Dafo Miru signs the letter.", "Dafo Mirus"]
+    t += ["Wasi", *(f"Wasi [Clue {i}]." for i in range(400)), "Wasi keeps the list."]
+    df = spark.createDataFrame([(x,) for x in t], "text string").withColumn("h", F.expr("xxhash64(text)"))
+    want = {"Dafo Miru", "Dafo Miru signs", "Wasi"}
+    for whole in ("true", "false"):  # in one partition; Wasi's followers over several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", whole)
+        try:
+            got = {r.text for r in pairs.shortened(df.select("text")).distinct().join(df, "h").collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want
+
+
 def test_tables_and_intended_refusals(spark):
     no = "I can't help with that request."
     r = spark.createDataFrame([(1, Q, A), (2, None, no), (2, None, no)], "variant_id bigint, result string, answer string")
