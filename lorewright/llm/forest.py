@@ -1,14 +1,19 @@
-"""Problem 3: the k most similar vectors of every vector, by an LSH forest.
+"""Problem 3: the k most similar vectors of every vector, by a forest of hash strings.
 
-Each tree gives every vector a 63-bit string of random hyperplane signs. A tree is the sorted array of these strings, range
-partitioned over the cluster. Along the array, vectors descend to the node of their longest common prefixes; from there all
-ascend together until a node, or neighbouring nodes cut where the common prefix is shortest, hold enough candidates (a
-block). In a block all cosines are exact, by one matrix product. The candidates of all trees are merged per vector.
+Each tree gives every vector a string of 63 bits: the number of its nearest centre among 128 (7 bits, the centres in the
+order of their main direction, so that near ones share a prefix), the nearest of that centre's 16 sub-centres (4 bits), and
+the sides of 52 random hyperplanes through the sub-centre. The centres are fitted per tree on a bounded sample of vectors
+(``sample``, at most 16,384 by default); every vector is indexed.
 
-Cost is linear: vectors x trees x block. What is lost are neighbours that share no block with the vector in any tree; it is
-measured by ``recall`` against an exact search. Close neighbours are lost least: with the defaults none of cosine 0.85 or
-more was missed in the measurements told in the README. Distant ones are lost more the larger the table is; where all k must
-come out whatever their cosine, ``all_neighbours`` compares all vectors with all, at quadratic cost.
+A tree is the sorted array of its strings. A vector descends in every tree to its longest matching prefix and then ascends in
+all trees at once, bit by bit, until the prefixes reached hold ``candidates`` vectors in all; how many vectors a prefix holds
+is told by a table of trees x 2**11 exact counts (below 11 bits a plane halves what there is). A prefix of more than four
+times that many vectors is not ascended to, which bounds the work of a subtree at any size of the collection. Subtrees are
+the unit of distribution: each is brought together once per tree, sorted, and every vector is compared with the range of the
+array that shares its prefix; cosines are exact. The best of all trees are merged per vector.
+
+Cost is vectors x (centres + candidates). What is lost are neighbours that share no reached prefix in any tree; it is
+measured by ``recall`` against an exact search (figures in the README, with the share of pairs compared).
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part; equal vectors are one class,
 searched once and expanded to at most k neighbours each; ties go to the smaller id; repeated rows count once; fewer than
@@ -21,12 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.storage import materialize
 
+WIDE, NARROW, SIGNS = 7, 4, 52  # bits of a string
+LEAF = WIDE + NARROW
+BITS = LEAF + SIGNS
+_U = np.uint64
+
 
 def _unit(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, unit vectors) of the usable vectors of a list column."""
@@ -57,94 +66,244 @@ def _vectors(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _planes(tree: int, dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, tree]).standard_normal((dim, 63)).astype(np.float32)
+# ---------------------------------------------------------------- the strings
+
+
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """k spherical centres of x (fewer where x has fewer rows), in the order of their main direction."""
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        of = np.argmax(x @ c.T, axis=1)
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.diff(of[order], prepend=-1))
+        total = np.add.reduceat(x[order], first, axis=0)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c[of[order][first]] = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), c[of[order][first]])
+    return c[np.argsort(np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[0][:, 0], kind="stable")]
+
+
+class Tree:
+    """The hash functions of one tree."""
+
+    def __init__(self, sample: np.ndarray, tree: int, seed: int):
+        rng = np.random.default_rng([seed, tree])
+        self.top = _centres(sample, 1 << WIDE, rng)
+        of = np.argmax(sample @ self.top.T, axis=1)
+        self.sub = []
+        for i, c in enumerate(self.top):
+            own = sample[of == i]
+            if len(own) < 2 << NARROW:  # too few to tell sub-centres: the nearest of the sample stand in
+                own = sample[np.argsort(-(sample @ c), kind="stable")[: 2 << NARROW]]
+            self.sub.append(_centres(own, 1 << NARROW, rng, 4))
+        self.planes = rng.standard_normal((sample.shape[1], SIGNS)).astype(np.float32)
+
+    def code(self, x: np.ndarray) -> np.ndarray:
+        a = np.argmax(x @ self.top.T, axis=1)
+        b, side = np.zeros(len(x), np.int64), np.zeros((len(x), SIGNS), bool)
+        order = np.argsort(a, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            if len(at):
+                c = self.sub[a[at[0]]]
+                b[at] = np.argmax(x[at] @ c.T, axis=1)
+                side[at] = (x[at] - c[b[at]]) @ self.planes > 0
+        return (a.astype(np.int64) << (NARROW + SIGNS)) | (b << SIGNS) | (side @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)))
+
+
+def fit(one: DataFrame, dim: int, trees: int, seed: int, sample: int) -> list[Tree]:
+    """The trees, each fitted in a task of its own on the same at most ``sample`` vectors (those with the least hash)."""
+    spark = one.sparkSession
+    got = one.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("v").collect()  # bounded: sample x dim x 4 bytes
+    if not got:
+        return []
+    held = spark.sparkContext.broadcast(np.frombuffer(b"".join(r.v for r in got), np.float32).reshape(-1, dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(Tree(held.value, t, seed), 5)], pa.binary())], names=["id", "tree"])
 
+    import pickle
 
-_WEIGHT = (1 << np.arange(62, -1, -1, dtype=np.int64)).astype(np.int64)
+    rows = spark.range(0, trees, 1, trees).mapInArrow(run, "id bigint, tree binary").collect()  # at most (2**7 + 2**11) x dim x 4 bytes each
+    return [pickle.loads(r.tree) for r in sorted(rows, key=lambda r: r.id)]
 
 
-def strings(vectors: DataFrame, dim: int, trees: int, seed: int) -> DataFrame:
-    """(tree, code, cls, v): each vector once per tree."""
+def strings(one: DataFrame, dim: int, forest) -> DataFrame:
+    """(cls, v, codes): the strings of each vector in all trees. forest: broadcast trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [_planes(t, dim, seed) for t in range(trees)]
         for b in batches:
             x = _vectors(b.column(1), dim)
-            for t, p in enumerate(planes):
-                code = ((x @ p) > 0) @ _WEIGHT
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), b.column(0), b.column(1)], names=["tree", "code", "cls", "v"])
-
-    return vectors.select("cls", "v").mapInArrow(run, "tree int, code bigint, cls bigint, v binary")
-
-
-def blocks(code: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Cuts of a sorted array of strings to blocks of at most ``most``, each cut where neighbours share the shortest prefix."""
-    out, a, n = [], 0, len(code)
-    while n - a > most:
-        lo, hi = a + most // 2, a + most
-        apart = code[lo:hi] ^ code[lo - 1 : hi - 1]  # the larger, the shorter the common prefix
-        cut = hi - 1 - int(np.argmax(apart[::-1])) if len(apart) else hi
-        out.append((a, cut))
-        a = cut
-    return out + [(a, n)] if n > a else out
-
-
-def _top(x: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, cosine) of each row's k best others in the block."""
-    r, c, s = [], [], []
-    for i in range(0, len(x), 512):
-        m = x[i : i + 512] @ x.T
-        m[np.arange(len(m)), np.arange(i, i + len(m))] = -2
+            codes = np.stack([t.code(x) for t in forest.value], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["cls", "v", "codes"])
+
+    return one.select("cls", "v").mapInArrow(run, "cls bigint, v binary, codes array<bigint>")
+
+
+class Levels:
+    """How many vectors the prefixes of each length hold: exactly up to 11 bits, halved by each plane below."""
+
+    def __init__(self, leaves: np.ndarray, candidates: int, cap: int):
+        self.candidates, self.cap = candidates, cap
+        self.size = [leaves.reshape(len(leaves), 1 << bits, -1).sum(axis=2) for bits in range(LEAF + 1)]
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(root, stop), each rows x trees: the shortest prefix that a subtree may have, and the length to which a vector
+        ascends there: the same in all trees but where the root is longer."""
+        n, trees = codes.shape
+        held = np.zeros((BITS + 1, n))  # vectors in all trees, by length of the prefix
+        root = np.full((n, trees), BITS, np.int64)
+        for t in range(trees):
+            leaf = codes[:, t] >> SIGNS
+            for bits in range(BITS, -1, -1):
+                s = self.size[bits][t, leaf >> (LEAF - bits)] if bits <= LEAF else self.size[LEAF][t, leaf] / 2.0 ** (bits - LEAF)
+                held[bits] += s
+                root[s <= self.cap, t] = bits
+        enough = held - trees >= self.candidates  # without itself
+        enough[0] = True
+        stop = BITS - np.argmax(enough[::-1], axis=0)
+        return root, np.maximum(stop[:, None], root)
+
+
+def leaf_counts(coded: DataFrame, trees: int) -> np.ndarray:
+    """Vectors per tree and leaf; trees x 2**11 numbers whatever the size."""
+    leaf = F.posexplode(F.transform("codes", lambda c: F.shiftright(c, SIGNS))).alias("tree", "leaf")
+    out = np.zeros((trees, 1 << LEAF), np.int64)
+    for r in coded.select(leaf).groupBy("tree", "leaf").count().collect():
+        out[r.tree, r.leaf] = r["count"]
+    return out
+
+
+def subtrees(coded: DataFrame, levels) -> DataFrame:
+    """(g, code, stop, cls, v): each vector in its subtree g of every tree. levels: broadcast Levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.int64)
+            root, stop = levels.value.of(codes)
+            for t in range(codes.shape[1]):
+                g = (codes[:, t] >> (BITS - root[:, t])) * 64 * codes.shape[1] + root[:, t] * codes.shape[1] + t
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(codes[:, t]), pa.array(stop[:, t].astype(np.int32)), b.column(0), b.column(1)], names=["g", "code", "stop", "cls", "v"])
+
+    return coded.select("cls", "v", "codes").mapInArrow(run, "g bigint, code bigint, stop int, cls bigint, v binary")
+
+
+def ranges(code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[lo, hi) of the entries of a sorted array of strings that share the first ``stop`` bits with each entry."""
+    c, shift = code.astype(_U), (BITS - stop).astype(_U)
+    first = (c >> shift) << shift
+    return np.searchsorted(c, first, "left"), np.searchsorted(c, first + (_U(1) << shift) - _U(1), "right")
+
+
+def _best(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, least: float | None, tile: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, cosine) of each row's k best others in its range."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for i in range(0, len(x), tile):
+        j = min(i + tile, len(x))
+        a, z = int(lo[i:j].min()), int(hi[i:j].max())
+        m = x[i:j] @ x[a:z].T
+        col = np.arange(a, z)
+        m[(col < lo[i:j, None]) | (col >= hi[i:j, None]) | (col == np.arange(i, j)[:, None])] = -3
         if least is not None:
-            row, col = np.nonzero(m >= least)
-            cos = m[row, col]
-            if len(row):
-                order = np.lexsort((-cos, row))
-                row, col, cos = row[order], col[order], cos[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < k
-                row, col, cos = row[keep], col[keep], cos[keep]
+            row, c = np.nonzero(m >= least)
         else:
-            kk = min(k, len(x) - 1)
-            if kk < 1:
-                continue
-            col = np.argpartition(-m, kk - 1, axis=1)[:, :kk]
-            row = np.repeat(np.arange(len(m)), kk)
-            cos = np.take_along_axis(m, col, 1).ravel()
-            col = col.ravel()
-        r.append(row + i)
-        c.append(col)
-        s.append(cos)
-    if not r:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
-    return np.concatenate(r), np.concatenate(c), np.concatenate(s)
-
-
-def _block_candidates(dim: int, k: int, block: int, least: float | None):
+            kk = min(k, m.shape[1])
+            c = np.argpartition(-m, kk - 1, axis=1)[:, :kk].ravel()
+            row = np.repeat(np.arange(j - i), kk)
+        cos = m[row, c]
+        ok = cos > -2
+        row, c, cos = row[ok], c[ok], cos[ok]
+        order = np.lexsort((-cos, row))
+        row, c, cos = row[order], c[order], cos[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((row[keep] + i, c[keep] + a, cos[keep]))
+    return tuple(np.concatenate(p) for p in zip(*out))
+
+
+def _by_subtree(use):
+    """Rows sorted by (g, code) to what ``use`` makes of each subtree; a subtree may run over several batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]  # a range partition, of bounded size
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        tree, code, cls = (t.column(i).to_numpy() for i in range(3))
-        v = t.column(3).chunk(0)
-        edges = np.flatnonzero(np.diff(tree)) + 1
-        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(tree)]):
-            for s, e in blocks(code[a:z], block):
-                r, c, cos = _top(_vectors(v.slice(a + s, e - s), dim), k, least)
-                if len(r):
-                    own = cls[a + s : a + e]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(own[c]), pa.array(cos.astype(np.float32))], names=["a", "b", "cosine"])
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(g)) + 1
+            if held and held[-1].column(0)[0].as_py() != g[0]:
+                yield use(held)
+                held = []
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(g)]):
+                held.append(b.slice(s, e - s))
+                if e < len(g):
+                    yield use(held)
+                    held = []
+        if held:
+            yield use(held)
 
     return run
 
 
-def _expanded(vectors: DataFrame, one: DataFrame, near: DataFrame, key: str, k: int) -> DataFrame:
+def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    t = pa.Table.from_batches(held)
+    return t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4)
+
+
+def _coded(df: DataFrame, key: str, vector: str, dim: int, trees: int, candidates: int, sample: int, seed: int):
+    """(vectors, subtrees): the usable vectors, and their places in the forest; None without any."""
+    spark = df.sparkSession
+    vectors = materialize(usable(df, key, vector, dim), "vectors")
+    one = vectors.groupBy("cls").agg(F.first("v").alias("v"))
+    forest = fit(one, dim, trees, seed, sample)
+    if not forest:
+        return vectors, None
+    coded = materialize(strings(one, dim, spark.sparkContext.broadcast(forest)), "strings")
+    levels = spark.sparkContext.broadcast(Levels(leaf_counts(coded, trees), candidates, 4 * candidates))
+    return vectors, subtrees(coded, levels).repartition("g").sortWithinPartitions("g", "code")
+
+
+def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int = 5, candidates: int = 2500, least: float | None = None, sample: int = 16384, seed: int = 7) -> DataFrame:
+    """(key, neighbour, cosine, rank): the k most similar other vectors of every usable vector, best first; with ``least``
+    only those of at least that cosine."""
+    vectors, places = _coded(df, key, vector, dim, trees, candidates, sample, seed)
+    if places is None:
+        return vectors.sparkSession.createDataFrame([], f"`{key}` bigint, neighbour bigint, cosine float, rank int")
+
+    def use(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        code, stop, cls, v = _arrays(held)
+        r, c, cos = _best(_vectors(v, dim), *ranges(code, stop), k, least)
+        return pa.RecordBatch.from_arrays([pa.array(cls[r]), pa.array(cls[c]), pa.array(cos)], names=["a", "b", "cosine"])
+
+    near = places.mapInArrow(_by_subtree(use), "a bigint, b bigint, cosine float")
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    near = near.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return _expanded(vectors, near, key, k)
+
+
+def compared(df: DataFrame, key: str, vector: str, dim: int = 96, trees: int = 5, candidates: int = 2500, sample: int = 16384, seed: int = 7) -> DataFrame:
+    """(vectors, compared, share): cosines that neighbours computes in all trees, and their share of all ordered pairs."""
+    vectors, places = _coded(df, key, vector, dim, trees, candidates, sample, seed)
+    if places is None:
+        return vectors.sparkSession.createDataFrame([(0, 0, None)], "vectors bigint, compared bigint, share double")
+
+    def use(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        code, stop, _, _ = _arrays(held)
+        lo, hi = ranges(code, stop)
+        return pa.RecordBatch.from_arrays([pa.array([len(code)]), pa.array([int((hi - lo - 1).sum())])], names=["n", "m"])
+
+    per = places.mapInArrow(_by_subtree(use), "n bigint, m bigint").agg((F.sum("n") / trees).cast("bigint").alias("vectors"), F.sum("m").alias("compared"))
+    return per.withColumn("share", F.col("compared") / (F.col("vectors") * (F.col("vectors") - 1)))
+
+
+def _expanded(vectors: DataFrame, near: DataFrame, key: str, k: int) -> DataFrame:
     """(key, neighbour, cosine, rank) of the k best of every vector, from those of every class: near (a, b, cosine)."""
     member = vectors.select("key", "cls").distinct()
     few = member.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where(F.col("r") <= k + 1)
-    pairs = near.union(one.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).cast("float").alias("cosine")))
+    own = vectors.select(F.col("cls").alias("a")).distinct()
+    pairs = near.union(own.select("a", F.col("a").alias("b"), F.lit(1.0).cast("float").alias("cosine")))
     to = pairs.join(few.select(F.col("cls").alias("b"), F.col("key").alias("neighbour")), "b")
     top = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
     return (
@@ -157,133 +316,51 @@ def _expanded(vectors: DataFrame, one: DataFrame, near: DataFrame, key: str, k:
     )
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int = 24, block: int = 4096, least: float | None = None, seed: int = 7, part_rows: int = 16384) -> DataFrame:
-    """(key, neighbour, cosine, rank): the k most similar other vectors of every usable vector, best first; with ``least``
-    only those of at least that cosine."""
-    vectors = materialize(usable(df, key, vector, dim), "vectors")
-    one = vectors.groupBy("cls").agg(F.first("v").alias("v"))
-    rows = vectors.select(F.approx_count_distinct("cls")).first()[0]
-    parts = max(1, -(-rows * trees // part_rows))
-    near = strings(one, dim, trees, seed).repartitionByRange(parts, "tree", "code").sortWithinPartitions("tree", "code").mapInArrow(_block_candidates(dim, k, block, least), "a bigint, b bigint, cosine float")
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    near = near.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    return _expanded(vectors, one, near, key, k)
-
+# ---------------------------------------------------------------- exact search, to measure against
 
-def _better(s: np.ndarray, c: np.ndarray, row: np.ndarray, cos: np.ndarray, cls: np.ndarray) -> None:
-    """Put candidates (row, cos, cls) among the k best (s, c) of their rows, the best last; ties go to the smaller class."""
-    k = s.shape[1]
-    at = np.unique(row)
-    r = np.concatenate([row, np.repeat(at, k)])
-    cos, cls = np.concatenate([cos, s[at].ravel()]), np.concatenate([cls, c[at].ravel()])
-    order = np.lexsort((-cls, cos, r))  # the last k of each row stay
-    last = np.searchsorted(r[order], at, "right")
-    keep = order[last[:, None] - np.arange(k, 0, -1)]
-    s[at], c[at] = cos[keep], cls[keep]
 
-
-def _square_candidates(dim: int, k: int):
-    """The k best of the partition's own vectors, which come first, among them and all others, which are read as a stream."""
+def exact(queries: DataFrame, df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, block: int = 4096) -> DataFrame:
+    """As neighbours, for the rows of ``queries`` (a stated set) by comparing each with all rows of df. Queries are dealt to
+    blocks of about ``block``; a task holds one block and reads all rows as a stream, keeping its k best."""
+    q = materialize(usable(queries, key, vector, dim).dropDuplicates(["key"]).select("key", "v"), "queries")
+    parts = max(1, -(-q.count() // block))
+    rows = usable(df, key, vector, dim).dropDuplicates(["key"]).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "key", "v")
+    seen = q.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "key", "v").unionByName(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, xs, rest = [], [], iter(batches)
-        first: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in rest:
-            own = int(pc.sum(b.column(1)).as_py() or 0)
-            cls, v = b.column(2).to_numpy(), _vectors(b.column(3), dim)
-            ids.append(cls[:own])
-            xs.append(v[:own])
-            if own < len(cls):
-                first.append((cls[own:], v[own:]))
-                break
-        if not sum(map(len, ids)):
-            return
-        ids, x = np.concatenate(ids), np.concatenate(xs)
-        s, c = np.full((len(x), k), -2, np.float32), np.full((len(x), k), np.iinfo(np.int64).max)
-        room = np.empty(512 * 2048, np.float32)
-
-        def compare(cls: np.ndarray, y: np.ndarray, own: bool) -> None:
-            for j in range(0, len(y), 2048):
-                yt, n = y[j : j + 2048].T, len(y[j : j + 2048])
-                for i in range(0, len(x), 512):
-                    q = x[i : i + 512]
-                    m = np.matmul(q, yt, out=room[: len(q) * n].reshape(len(q), n))
-                    if own:
-                        same = np.arange(max(i, j), min(i + len(q), j + n))
-                        m[same - i, same - j] = -3
-                    if s[i, 0] == -2 and n > k:  # nothing known yet: nearly all would be candidates
-                        col = np.argpartition(m, n - k, axis=1)[:, n - k :]
-                        row, col = np.repeat(np.arange(len(q)), k), col.ravel()
-                    else:
-                        row, col = np.divmod(np.flatnonzero(m >= s[i : i + 512, :1]), n)
-                    cos = m[row, col]
-                    if len(row):
-                        ok = cos > -2
-                        _better(s[i : i + 512], c[i : i + 512], row[ok], cos[ok], cls[j : j + 2048][col[ok]])
-
-        compare(ids, x, True)
-        for cls, v in first:
-            compare(cls, v, False)
-        for b in rest:
-            compare(b.column(2).to_numpy(), _vectors(b.column(3), dim), False)
-        for i in range(0, len(x), 8192):
-            row, col = np.nonzero(s[i : i + 8192] > -2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(c[i + row, col]), pa.array(s[i + row, col])], names=["a", "b", "cosine"])
-
-    return run
+        part, ids, x, best = None, [], [], None
 
+        def out() -> Iterator[pa.RecordBatch]:
+            if best is not None and len(ids):
+                s, c = best
+                r, i = np.nonzero(s > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c[r, i]), pa.array(s[r, i])], names=["key", "neighbour", "cosine"])
 
-def all_neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, part_rows: int = 32768) -> DataFrame:
-    """As neighbours, by comparing all with all: nothing is lost at any size. Each partition has its own vectors, at most
-    about part_rows, and reads all others as a stream: the shuffle is vectors x partitions, the cost quadratic."""
-    vectors = materialize(usable(df, key, vector, dim), "vectors")
-    one = materialize(vectors.groupBy("cls").agg(F.first("v").alias("v")), "classes")
-    rows = one.count()
-    parts = max(-(-rows // part_rows), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // 512)), 1)
-    mine = F.pmod("cls", F.lit(parts)).cast("int")
-    seen = one.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cls", "v").select("part", (F.col("part") == mine).alias("own"), "cls", "v")
-    near = seen.repartitionById(parts, "part").sortWithinPartitions(F.desc("own")).mapInArrow(_square_candidates(dim, k), "a bigint, b bigint, cosine float")
-    return _expanded(vectors, one, near, key, k)
-
-
-def exact(queries: DataFrame, df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, per_pass: int = 8192) -> DataFrame:
-    """As neighbours, for the rows of ``queries`` by comparing each with all rows of df, in blocks of queries: a pass over
-    df holds at most per_pass queries, whatever their number."""
-    spark = df.sparkSession
-    q = usable(queries, key, vector, dim).dropDuplicates(["key"])
-    out, now = None, []
-    rows = usable(df, key, vector, dim).select("key", "v")
-
-    def search(now: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r.key for r in now]), np.frombuffer(b"".join(r.v for r in now), np.float32).reshape(-1, dim)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, x = held.value
-            for b in batches:
-                if not b.num_rows:
+        for b in batches:
+            p, kind, key_, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _vectors(b.column(3), dim)
+            edges = np.flatnonzero((np.diff(p) != 0) | (np.diff(kind) != 0)) + 1
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(p)]):
+                if s == e:
                     continue
-                own, y = b.column(0).to_numpy(), _vectors(b.column(1), dim)
-                for i in range(0, len(x), 1024):
-                    m = x[i : i + 1024] @ y.T
-                    m[ids[i : i + 1024, None] == own[None, :]] = -2
-                    kk = min(k, len(own))
-                    col = np.argpartition(-m, kk - 1, axis=1)[:, :kk]
-                    cos = np.take_along_axis(m, col, 1).ravel()
-                    a = np.repeat(ids[i : i + 1024], kk)
-                    ok = cos > -1.5
-                    yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(own[col.ravel()[ok]]), pa.array(cos[ok].astype(np.float32))], names=["key", "neighbour", "cosine"])
-
-        return rows.mapInArrow(run, "key bigint, neighbour bigint, cosine float")
-
-    for r in q.toLocalIterator():
-        now.append(r)
-        if len(now) == per_pass:
-            out = search(now) if out is None else out.union(search(now))
-            now = []
-    if now or out is None:
-        out = search(now) if out is None else out.union(search(now))
+                if p[s] != part:
+                    yield from out()
+                    part, ids, x, best = p[s], np.zeros(0, np.int64), np.zeros((0, dim), np.float32), None
+                if kind[s] == 0:
+                    ids, x = np.concatenate([ids, key_[s:e]]), np.concatenate([x, v[s:e]])
+                    best = np.full((len(x), k), -3, np.float32), np.zeros((len(x), k), np.int64)
+                elif len(ids):
+                    for i in range(0, len(ids), 1024):
+                        m = x[i : i + 1024] @ v[s:e].T
+                        m[ids[i : i + 1024, None] == key_[None, s:e]] = -3
+                        both = np.concatenate([best[0][i : i + 1024], m], axis=1)
+                        name = np.concatenate([best[1][i : i + 1024], np.broadcast_to(key_[s:e], m.shape)], axis=1)
+                        at = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                        best[0][i : i + 1024], best[1][i : i + 1024] = np.take_along_axis(both, at, 1), np.take_along_axis(name, at, 1)
+        yield from out()
+
+    found = seen.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, "key bigint, neighbour bigint, cosine float")
     top = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
-    return out.dropDuplicates(["key", "neighbour"]).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).withColumnRenamed("key", key)
+    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
 def recall(found: DataFrame, truth: DataFrame, key: str, least: float | None = None) -> DataFrame:

@@ -1,10 +1,8 @@
 import numpy as np
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lorewright.llm import forest, pairs, queries
+from lorewright.llm import forest, pairs
 
 Q = "Which signed form must be sent to Dafo before Miru renews the visa letter?"
 A = "Dafo decides about the signed form, while Miru only keeps the letter on file for 12 months."
@@ -127,18 +125,22 @@ def vectors(n=400, dim=16, seed=1):
 
 
 def test_forest_finds_what_brute_force_finds(spark):
-    x = vectors()
+    x = vectors(2000)
     df = spark.createDataFrame([(i, v.tolist(), 5) for i, v in enumerate(x)], "vec_id bigint, v array<float>, rank int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
     want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
-    near = forest.neighbours(df, "vec_id", "v", dim=16, k=5, trees=24, block=128)
+    args = {"dim": 16, "trees": 6, "candidates": 600}
+    near = forest.neighbours(df, "vec_id", "v", k=5, **args)
     got = {(r.vec_id, r.neighbour) for r in near.collect()}
     assert len(got & want) >= 0.9 * len(want)
-    truth = forest.exact(df.where("vec_id % 20 = 0"), df, "vec_id", "v", dim=16, k=5, per_pass=7)
+    assert forest.compared(df, "vec_id", "v", **args).first().share < 0.5
+    truth = forest.exact(df.where("vec_id % 20 = 0"), df, "vec_id", "v", dim=16, k=5, block=7)
     assert {(r.vec_id, r.neighbour) for r in truth.collect()} == {p for p in want if p[0] % 20 == 0}
     assert forest.recall(near, truth, "vec_id").first().recall >= 0.9
+    close = {(i, int(j)) for i, j in want if s[i, j] >= 0.95}
+    assert {(r.vec_id, r.neighbour) for r in forest.neighbours(df, "vec_id", "v", k=5, least=0.95, **args).collect()} >= close
 
 
 def test_forest_takes_only_usable_vectors(spark):
@@ -148,40 +150,37 @@ def test_forest_takes_only_usable_vectors(spark):
     got = [tuple(r) for r in forest.neighbours(df, "vec_id", "v", dim=3, k=10).select("vec_id", "rank", "neighbour").orderBy("vec_id", "rank").collect()]
     assert got == [(1, 1, 2), (1, 2, 8), (2, 1, 1), (2, 2, 8), (8, 1, 1), (8, 2, 2)]
     assert forest.neighbours(df.limit(0), "vec_id", "v", dim=3).collect() == []
+    assert forest.compared(df.limit(0), "vec_id", "v", dim=3).first().compared == 0
+    assert forest.exact(df.limit(0), df, "vec_id", "v", dim=3).collect() == []
 
 
-def test_copies_do_not_fill_a_block(spark):
+def test_copies_are_one_class(spark):
     rows = [(i, [1.0, 1.0]) for i in range(300)] + [(1000, [1.0, 0.9])]
     df = spark.createDataFrame(rows, "vec_id bigint, v array<float>")
-    got = forest.neighbours(df, "vec_id", "v", dim=2, k=3, block=16).collect()
+    got = forest.neighbours(df, "vec_id", "v", dim=2, k=3, candidates=2).collect()
     assert len(got) == 301 * 3
     assert {r.neighbour for r in got if r.vec_id == 250} == {0, 1, 2} and {r.neighbour for r in got if r.vec_id == 1} == {0, 2, 3}
 
 
-def test_blocks_are_bounded_and_cut_at_short_prefixes():
-    code = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 1000))
-    b = forest.blocks(code, 64)
-    assert b[0][0] == 0 and b[-1][1] == 1000 and all(x[1] == y[0] for x, y in zip(b, b[1:])) and all(0 < e - s <= 64 for s, e in b)
-
-
-def test_top10_is_whole_where_blocks_are_a_small_part(spark, tmp_path):
-    n = 24000
-    x = np.random.default_rng(5).standard_normal((n, 96)).astype(np.float32)
-    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 96).cast(pa.list_(pa.float32()))}), tmp_path / "chunk_vectors.parquet")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u[:1000] @ u.T
-    s[np.arange(1000), np.arange(1000)] = -2
-    want = {(i, int(j)) for i, r in enumerate(s) for j in np.argpartition(-r, 9)[:10]}
-    got = {(r.vec_id, int(j)) for r in queries.p3_top10(spark, str(tmp_path)).where("vec_id < 1000").collect() for j in r.top.split(",")}
-    assert len(got) == 10000 and len(got & want) >= 9998  # two may tie in single precision
-
-
-def test_comparing_all_with_all_takes_what_the_forest_takes(spark):
-    x = vectors(1400)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, x[0].tolist()) for i in range(30)] + [(3000, None), (3001, [0.0] * 16)], "vec_id bigint, v array<float>")
-    a = {(r.vec_id, r.rank): (r.neighbour, round(r.cosine, 4)) for r in forest.neighbours(df, "vec_id", "v", dim=16, k=5, trees=1).collect()}
-    b = {(r.vec_id, r.rank): (r.neighbour, round(r.cosine, 4)) for r in forest.all_neighbours(df, "vec_id", "v", dim=16, k=5, part_rows=300).collect()}
-    assert a.keys() == b.keys() and sum(a[p] == b[p] for p in a) >= len(a) - 10
-    assert forest.all_neighbours(df.limit(0), "vec_id", "v", dim=16).collect() == []
-    few = forest.all_neighbours(df.where("vec_id < 3"), "vec_id", "v", dim=16).collect()
-    assert {(r.vec_id, r.neighbour) for r in few} == {(i, j) for i in range(3) for j in range(3) if i != j}
+def test_ranges_are_those_that_share_the_prefix():
+    rng = np.random.default_rng(0)
+    code = np.sort(rng.integers(0, 1 << 63, 500))
+    stop = rng.choice([0, 1, 3, 7, 11, 40, 63], 500)
+    lo, hi = forest.ranges(code, stop)
+    for i in range(0, 500, 7):
+        same = [j for j in range(500) if (int(code[j]) >> (63 - int(stop[i]))) == (int(code[i]) >> (63 - int(stop[i])))]
+        assert (lo[i], hi[i] - 1) == (same[0], same[-1])
+
+
+def test_all_trees_ascend_together_and_no_prefix_grows_beyond_its_bound():
+    rng = np.random.default_rng(1)
+    leaves = rng.integers(0, 40, (3, 1 << forest.LEAF))
+    levels = forest.Levels(leaves, candidates=500, cap=300)
+    codes = rng.integers(0, 1 << 63, (50, 3))
+    root, stop = levels.of(codes)
+    for i in range(50):
+        for t in range(3):
+            size = lambda b: levels.size[b][t, codes[i, t] >> (forest.BITS - b)] if b <= forest.LEAF else levels.size[forest.LEAF][t, codes[i, t] >> forest.SIGNS] / 2 ** (b - forest.LEAF)  # noqa: E731,B023
+            assert size(root[i, t]) <= 300 and (root[i, t] == 0 or size(root[i, t] - 1) > 300) and stop[i, t] >= root[i, t]
+        free = [t for t in range(3) if stop[i, t] > root[i, t]]
+        assert len({stop[i, t] for t in free}) <= 1
