@@ -1,13 +1,13 @@
 """Problem 3: the k most similar vectors of every vector, by a forest of hash strings.
 
-Each tree gives every vector a string of 63 bits: the number of its nearest centre among 128 (7 bits, the centres in the
-order of their main direction, so that near ones share a prefix), the nearest of that centre's 16 sub-centres (4 bits), and
-the sides of 52 random hyperplanes through the sub-centre. The centres are fitted per tree on a bounded sample of vectors
-(``sample``, at most 16,384 by default); every vector is indexed.
+Each tree gives every vector a string of 63 bits: the number of its nearest centre (7 to 11 bits, about one centre for 400
+vectors, in the order of their main direction, so that near ones share a prefix), the nearest of that centre's 16 sub-centres
+(4 bits), and the sides of random hyperplanes through the sub-centre. The centres are fitted per tree on a bounded sample of
+vectors (``sample``, at most 32,768 by default); every vector is indexed.
 
 A tree is the sorted array of its strings. A vector descends in every tree to its longest matching prefix and then ascends in
 all trees at once, bit by bit, until the prefixes reached hold ``candidates`` vectors in all; how many vectors a prefix holds
-is told by a table of trees x 2**11 exact counts (below 11 bits a plane halves what there is). A prefix of more than four
+is told by a table of trees x 2**15 exact counts at most (below them a plane halves what there is). A prefix of more than four
 times that many vectors is not ascended to, which bounds the work of a subtree at any size of the collection. Subtrees are
 the unit of distribution: each is brought together once per tree, sorted, and every vector is compared with the range of the
 array that shares its prefix; cosines are exact. The best of all trees are merged per vector.
@@ -31,9 +31,7 @@ from pyspark.sql import functions as F
 
 from lorewright.storage import materialize
 
-WIDE, NARROW, SIGNS = 7, 4, 52  # bits of a string
-LEAF = WIDE + NARROW
-BITS = LEAF + SIGNS
+BITS, NARROW = 63, 4  # of a string, of the sub-centre
 _U = np.uint64
 
 
@@ -85,9 +83,10 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
 class Tree:
     """The hash functions of one tree."""
 
-    def __init__(self, sample: np.ndarray, tree: int, seed: int):
+    def __init__(self, sample: np.ndarray, tree: int, seed: int, wide: int):
         rng = np.random.default_rng([seed, tree])
-        self.top = _centres(sample, 1 << WIDE, rng)
+        self.leaf_bits, self.signs = wide + NARROW, BITS - wide - NARROW
+        self.top = _centres(sample, 1 << wide, rng)
         of = np.argmax(sample @ self.top.T, axis=1)
         self.sub = []
         for i, c in enumerate(self.top):
@@ -95,23 +94,27 @@ class Tree:
             if len(own) < 2 << NARROW:  # too few to tell sub-centres: the nearest of the sample stand in
                 own = sample[np.argsort(-(sample @ c), kind="stable")[: 2 << NARROW]]
             self.sub.append(_centres(own, 1 << NARROW, rng, 4))
-        self.planes = rng.standard_normal((sample.shape[1], SIGNS)).astype(np.float32)
+        self.planes = rng.standard_normal((sample.shape[1], self.signs)).astype(np.float32)
 
     def code(self, x: np.ndarray) -> np.ndarray:
         a = np.argmax(x @ self.top.T, axis=1)
-        b, side = np.zeros(len(x), np.int64), np.zeros((len(x), SIGNS), bool)
+        b, side = np.zeros(len(x), np.int64), np.zeros((len(x), self.signs), bool)
         order = np.argsort(a, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
             if len(at):
                 c = self.sub[a[at[0]]]
                 b[at] = np.argmax(x[at] @ c.T, axis=1)
                 side[at] = (x[at] - c[b[at]]) @ self.planes > 0
-        return (a.astype(np.int64) << (NARROW + SIGNS)) | (b << SIGNS) | (side @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)))
+        return (((a.astype(np.int64) << NARROW) | b) << self.signs) | (side @ (1 << np.arange(self.signs - 1, -1, -1, dtype=np.int64)))
 
 
-def fit(one: DataFrame, dim: int, trees: int, seed: int, sample: int) -> list[Tree]:
-    """The trees, each fitted in a task of its own on the same at most ``sample`` vectors (those with the least hash)."""
+def fit(one: DataFrame, dim: int, trees: int | None, seed: int, sample: int) -> list[Tree]:
+    """The trees, each fitted in a task of its own on the same at most ``sample`` vectors (those with the least hash). The
+    number of centres, and where none is given that of trees (5 to 13), grows with the logarithm of the number of vectors."""
     spark = one.sparkSession
+    rows = one.select(F.approx_count_distinct("cls")).first()[0]
+    wide = min(max(round(np.log2(max(rows, 1) / 400)), 7), 11)
+    trees = trees or 5 + 2 * (wide - 7)
     got = one.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("v").collect()  # bounded: sample x dim x 4 bytes
     if not got:
         return []
@@ -122,11 +125,11 @@ def fit(one: DataFrame, dim: int, trees: int, seed: int, sample: int) -> list[Tr
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(Tree(held.value, t, seed), 5)], pa.binary())], names=["id", "tree"])
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(Tree(held.value, t, seed, wide), 5)], pa.binary())], names=["id", "tree"])
 
     import pickle
 
-    rows = spark.range(0, trees, 1, trees).mapInArrow(run, "id bigint, tree binary").collect()  # at most (2**7 + 2**11) x dim x 4 bytes each
+    rows = spark.range(0, trees, 1, trees).mapInArrow(run, "id bigint, tree binary").collect()  # at most (2**11 + 2**15) x dim x 4 bytes each
     return [pickle.loads(r.tree) for r in sorted(rows, key=lambda r: r.id)]
 
 
@@ -144,22 +147,24 @@ def strings(one: DataFrame, dim: int, forest) -> DataFrame:
 
 
 class Levels:
-    """How many vectors the prefixes of each length hold: exactly up to 11 bits, halved by each plane below."""
+    """How many vectors the prefixes of each length hold: exactly up to the leaf, halved by each plane below."""
 
     def __init__(self, leaves: np.ndarray, candidates: int, cap: int):
         self.candidates, self.cap = candidates, cap
-        self.size = [leaves.reshape(len(leaves), 1 << bits, -1).sum(axis=2) for bits in range(LEAF + 1)]
+        self.leaf_bits = leaves.shape[1].bit_length() - 1
+        self.size = [leaves.reshape(len(leaves), 1 << bits, -1).sum(axis=2) for bits in range(self.leaf_bits + 1)]
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(root, stop), each rows x trees: the shortest prefix that a subtree may have, and the length to which a vector
         ascends there: the same in all trees but where the root is longer."""
         n, trees = codes.shape
+        deep = self.leaf_bits
         held = np.zeros((BITS + 1, n))  # vectors in all trees, by length of the prefix
         root = np.full((n, trees), BITS, np.int64)
         for t in range(trees):
-            leaf = codes[:, t] >> SIGNS
+            leaf = codes[:, t] >> (BITS - deep)
             for bits in range(BITS, -1, -1):
-                s = self.size[bits][t, leaf >> (LEAF - bits)] if bits <= LEAF else self.size[LEAF][t, leaf] / 2.0 ** (bits - LEAF)
+                s = self.size[bits][t, leaf >> (deep - bits)] if bits <= deep else self.size[deep][t, leaf] / 2.0 ** (bits - deep)
                 held[bits] += s
                 root[s <= self.cap, t] = bits
         enough = held - trees >= self.candidates  # without itself
@@ -168,10 +173,10 @@ class Levels:
         return root, np.maximum(stop[:, None], root)
 
 
-def leaf_counts(coded: DataFrame, trees: int) -> np.ndarray:
-    """Vectors per tree and leaf; trees x 2**11 numbers whatever the size."""
-    leaf = F.posexplode(F.transform("codes", lambda c: F.shiftright(c, SIGNS))).alias("tree", "leaf")
-    out = np.zeros((trees, 1 << LEAF), np.int64)
+def leaf_counts(coded: DataFrame, trees: int, leaf_bits: int) -> np.ndarray:
+    """Vectors per tree and leaf; at most trees x 2**15 numbers whatever the size."""
+    leaf = F.posexplode(F.transform("codes", lambda c: F.shiftright(c, BITS - leaf_bits))).alias("tree", "leaf")
+    out = np.zeros((trees, 1 << leaf_bits), np.int64)
     for r in coded.select(leaf).groupBy("tree", "leaf").count().collect():
         out[r.tree, r.leaf] = r["count"]
     return out
@@ -252,7 +257,7 @@ def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4)
 
 
-def _coded(df: DataFrame, key: str, vector: str, dim: int, trees: int, candidates: int, sample: int, seed: int):
+def _coded(df: DataFrame, key: str, vector: str, dim: int, trees: int | None, candidates: int, sample: int, seed: int):
     """(vectors, subtrees): the usable vectors, and their places in the forest; None without any."""
     spark = df.sparkSession
     vectors = materialize(usable(df, key, vector, dim), "vectors")
@@ -261,11 +266,11 @@ def _coded(df: DataFrame, key: str, vector: str, dim: int, trees: int, candidate
     if not forest:
         return vectors, None
     coded = materialize(strings(one, dim, spark.sparkContext.broadcast(forest)), "strings")
-    levels = spark.sparkContext.broadcast(Levels(leaf_counts(coded, trees), candidates, 4 * candidates))
+    levels = spark.sparkContext.broadcast(Levels(leaf_counts(coded, len(forest), forest[0].leaf_bits), candidates, 4 * candidates))
     return vectors, subtrees(coded, levels).repartition("g").sortWithinPartitions("g", "code")
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int = 5, candidates: int = 2500, least: float | None = None, sample: int = 16384, seed: int = 7) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10, trees: int | None = None, candidates: int = 2500, least: float | None = None, sample: int = 32768, seed: int = 7) -> DataFrame:
     """(key, neighbour, cosine, rank): the k most similar other vectors of every usable vector, best first; with ``least``
     only those of at least that cosine."""
     vectors, places = _coded(df, key, vector, dim, trees, candidates, sample, seed)
@@ -283,7 +288,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 96, k: int = 10,
     return _expanded(vectors, near, key, k)
 
 
-def compared(df: DataFrame, key: str, vector: str, dim: int = 96, trees: int = 5, candidates: int = 2500, sample: int = 16384, seed: int = 7) -> DataFrame:
+def compared(df: DataFrame, key: str, vector: str, dim: int = 96, trees: int | None = None, candidates: int = 2500, sample: int = 32768, seed: int = 7) -> DataFrame:
     """(vectors, compared, share): cosines that neighbours computes in all trees, and their share of all ordered pairs."""
     vectors, places = _coded(df, key, vector, dim, trees, candidates, sample, seed)
     if places is None:
@@ -292,9 +297,10 @@ def compared(df: DataFrame, key: str, vector: str, dim: int = 96, trees: int = 5
     def use(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         code, stop, _, _ = _arrays(held)
         lo, hi = ranges(code, stop)
-        return pa.RecordBatch.from_arrays([pa.array([len(code)]), pa.array([int((hi - lo - 1).sum())])], names=["n", "m"])
+        return pa.RecordBatch.from_arrays([pa.array([int((hi - lo - 1).sum())])], names=["m"])
 
-    per = places.mapInArrow(_by_subtree(use), "n bigint, m bigint").agg((F.sum("n") / trees).cast("bigint").alias("vectors"), F.sum("m").alias("compared"))
+    per = places.mapInArrow(_by_subtree(use), "m bigint").agg(F.sum("m").alias("compared"))
+    per = vectors.agg(F.count_distinct("cls").alias("vectors")).crossJoin(per)  # one row each
     return per.withColumn("share", F.col("compared") / (F.col("vectors") * (F.col("vectors") - 1)))
 
 

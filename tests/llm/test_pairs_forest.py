@@ -174,13 +174,13 @@ def test_ranges_are_those_that_share_the_prefix():
 
 def test_all_trees_ascend_together_and_no_prefix_grows_beyond_its_bound():
     rng = np.random.default_rng(1)
-    leaves = rng.integers(0, 40, (3, 1 << forest.LEAF))
+    leaves = rng.integers(0, 40, (3, 1 << 11))
     levels = forest.Levels(leaves, candidates=500, cap=300)
     codes = rng.integers(0, 1 << 63, (50, 3))
     root, stop = levels.of(codes)
     for i in range(50):
         for t in range(3):
-            size = lambda b: levels.size[b][t, codes[i, t] >> (forest.BITS - b)] if b <= forest.LEAF else levels.size[forest.LEAF][t, codes[i, t] >> forest.SIGNS] / 2 ** (b - forest.LEAF)  # noqa: E731,B023
+            size = lambda b: levels.size[b][t, codes[i, t] >> (63 - b)] if b <= 11 else levels.size[11][t, codes[i, t] >> 52] / 2 ** (b - 11)  # noqa: E731,B023
             assert size(root[i, t]) <= 300 and (root[i, t] == 0 or size(root[i, t] - 1) > 300) and stop[i, t] >= root[i, t]
         free = [t for t in range(3) if stop[i, t] > root[i, t]]
         assert len({stop[i, t] for t in free}) <= 1
