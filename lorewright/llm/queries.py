@@ -84,6 +84,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context", n=3, t=0.6)
 
 
+@query
+def p5_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries and lists of either kind the index of p5_found has."""
+    return near_copies.index_profile(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context", n=3, t=0.6)
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.split_records(_table(spark, sf_dir, "proposed_questions"), _table(spark, sf_dir, "rephrased_questions"))
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from lorewright.llm import near_copies
 from lorewright.llm.overlap import words
 
@@ -45,11 +48,42 @@ def test_same_pairs_as_brute_force(spark):
 def test_frequent_tokens_go_through_combinations(spark, monkeypatch):
     rows = corpus(4, 80)
     real = near_copies.class_links
-    monkeypatch.setattr(near_copies, "class_links", lambda *a, **k: real(*a, **{**k, "frequent": 2}))
+    monkeypatch.setattr(near_copies, "class_links", lambda *a, **k: real(*a, **{**k, "least": 2}))
+    got = {tuple(r) for r in near_copies.near_pairs(frame(spark, rows), "key", "t", n=3, t=0.6, bits=12).collect()}
+    assert got == jaccard_pairs(rows, 3, 0.6)
+
+
+def test_long_lists_are_dealt_to_blocks(spark, monkeypatch):
+    rows = corpus(7, 80)
+    links, entries = near_copies.class_links, near_copies.entries
+    monkeypatch.setattr(near_copies, "class_links", lambda *a, **k: links(*a, **{**k, "least": 4}))
+    monkeypatch.setattr(near_copies, "entries", lambda *a: entries(*a, block=3))
     got = {tuple(r) for r in near_copies.near_pairs(frame(spark, rows), "key", "t", n=3, t=0.6, bits=12).collect()}
     assert got == jaccard_pairs(rows, 3, 0.6)
 
 
+def test_a_sequence_that_very_many_texts_share_costs_no_more_than_its_entries():
+    n = 100_000
+    sig, cls, side = np.full(n, 5), np.arange(n), np.zeros(n, np.int8)
+    size = np.sort(np.random.default_rng(0).integers(90, 110, n))
+    assert list(near_copies.meetings(sig, cls, size, (0.3 * size).astype(int), side, 0.6)) == []
+    few = np.concatenate([np.zeros(3, int), (0.3 * size[3:]).astype(int)])
+    assert sum(p.shape[1] for p in near_copies.meetings(sig, cls, size, few, side, 0.6)) < 3 * n
+
+
+def test_entries_told_twice_and_lists_over_many_batches():
+    rng = np.random.default_rng(1)
+    e = np.unique(np.stack([rng.integers(0, 3, 400), rng.integers(10, 14, 400), rng.integers(0, 60, 400)], axis=1), axis=0)
+    e = np.repeat(e, rng.integers(1, 3, len(e)), axis=0)
+    sig, size, cls = e.T
+    cols = (sig, cls, size.astype(np.int32), np.ones(len(e), np.int32), np.zeros(len(e), np.int8))
+    want = {(min(a[2], b[2]), max(a[2], b[2])) for a in e.tolist() for b in e.tolist() if a[0] == b[0] and a[2] != b[2]}
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "cls", "size", "pos", "side"])
+    for step in (7, 1000):
+        got = {p for b in near_copies._meet(0.6)(whole.slice(i, step) for i in range(0, len(e), step)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        assert got == want
+
+
 def test_nulls_short_texts_copies_and_repeats(spark):
     long = " ".join(f"t{i}" for i in range(30))
     rows = [(1, long), (1, long), (2, long.upper()), (3, None), (4, ""), (5, "two words"), (6, long + " more"), (None, long), (7, "two words")]
