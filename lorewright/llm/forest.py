@@ -110,11 +110,11 @@ class Tree:
 
 def fit(one: DataFrame, dim: int, trees: int | None, seed: int, sample: int) -> list[Tree]:
     """The trees, each fitted in a task of its own on the same at most ``sample`` vectors (those with the least hash). The
-    number of centres, and where none is given that of trees (5 to 13), grows with the logarithm of the number of vectors."""
+    number of centres, and where none is given that of trees (7 to 15), grows with the logarithm of the number of vectors."""
     spark = one.sparkSession
     rows = one.select(F.approx_count_distinct("cls")).first()[0]
     wide = min(max(round(np.log2(max(rows, 1) / 400)), 7), 11)
-    trees = trees or 5 + 2 * (wide - 7)
+    trees = trees or 7 + 2 * (wide - 7)
     got = one.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("v").collect()  # bounded: sample x dim x 4 bytes
     if not got:
         return []
