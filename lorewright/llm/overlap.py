@@ -1,16 +1,23 @@
 """Problem 1: records of evaluation splits that recur, the same or nearly so, in the training split.
 
-Every record becomes a passage: its distinct words, rare ones first (count sketch over all rows). The evaluation passages
-are sharded; each shard builds one Aho-Corasick automaton over the words of its passages and scans the training passages
-that may concern it from end to end. A match early enough in both passages makes an evaluation record a candidate, and the matched
-intervals of the whole scan, merged, are its coverage: the exact number of shared words, from which the similarity follows.
+The evaluation records are sharded. Each shard builds one Aho-Corasick automaton over its normalised passages, all runs of
+three words of its records (a shorter record is one run), and scans every training text of the shard from end to end in
+reading order. The matched intervals of a text are merged per evaluation record to its coverage: the share of the record's
+words that stand in passages of the training text.
 
-Completeness: the first word that two sets with Jaccard of at least t share stands within the first size - overlap + 1 words
-of both; places that allow it are told by size and position. A passage is sent to the shards of its leading words only; records with equal sets are one class, so a hot text is scanned once per split;
-shards that many training passages reach are split into blocks.
+Which records are alike as sets of words, in whatever order, is decided on the sets. Passages can't decide that: a text
+may have all words and no common run, and records made by one pattern share nearly all runs but not the words that matter
+(the README has figures). So a training text meets a shard by its leading words, rare ones first (count sketch over all
+rows): the first word that two sets with Jaccard of at least t share stands within the first size - overlap + 1 words of
+both. The exact similarity of each pair that meets so, and its coverage, come out.
+
+Records with equal sets are one class per split, so a hot text is scanned once. A shard that very many rows of either side
+reach is dealt to a grid of cells, blocks of evaluation records by blocks of training texts: a task holds a bounded number
+of both whatever the size of the collection or the frequency of a word.
 
 Defined results: null and blank texts have no words and match nothing; null ids and splits take no part; case and outer
-blanks of split are ignored; repeated rows count once; extra columns are ignored.
+blanks of split are ignored; repeated rows count once; of records with equal sets of words the coverage is that of one of
+them; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,38 +62,47 @@ def _hashes(ws: list[str]) -> np.ndarray:
 
 
 def passages(records: DataFrame, t: float, classes, bits: int, known, known_bits: int = 20) -> DataFrame:
-    """(record_id, train, cls, passage, lead): the class of each record's word set, and, once per task for each class, its
-    words in canonical order and the hashes of the leading ones, among which two similar passages must meet. Of a training
-    passage only those leading words count that may lead an evaluation passage, too (``known``)."""
+    """(record_id, train, cls, passage, size, lead, place): the class of each record's word set, and, once per task for each
+    class, its normalised text, the number of its distinct words, and the hashes of its leading words, rare ones first, with
+    their places, among which two similar passages must meet. Of a training passage only those leading words count that may
+    lead an evaluation passage, too (``known``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[bool, int]] = set()
         for b in batches:
-            ws = [list(dict.fromkeys(words(x))) for x in b.column(2).to_pylist()]
+            said = [words(x) for x in b.column(2).to_pylist()]
+            ws = [list(dict.fromkeys(w)) for w in said]
             train = b.column(1).to_pylist()
             o, h = wh.word_hashes([" ".join(w) for w in ws])
             c = classes.value[sketch.bucket(h, bits)]
-            ids, out, leads = [], [], []
+            ids, out, sizes, leads, places = [], [], [], [], []
             for i, w in enumerate(ws):
                 a, z = int(o[i]), int(o[i + 1])
                 hi = h[a:z]
-                order = np.lexsort((hi, c[a:z]))
-                hs = np.sort(hi)
-                cls = int(wh.mix(wh.mix(hs).sum(dtype=np.uint64)[None] + np.uint64(len(w))).view(np.int64)[0])
+                cls = int(wh.mix(wh.mix(np.sort(hi)).sum(dtype=np.uint64)[None] + np.uint64(len(w))).view(np.int64)[0])
                 ids.append(cls if w else None)
+                sizes.append(len(w))
                 if not w or (train[i], cls) in seen:
                     out.append(None)
                     leads.append(None)
+                    places.append(None)
                     continue
                 seen.add((train[i], cls))
-                lead = hi[order[: len(w) - int(np.ceil(t * len(w) - 1e-9)) + 1]]
+                lead = hi[np.lexsort((hi, c[a:z]))[: len(w) - int(np.ceil(t * len(w) - 1e-9)) + 1]]
+                place = np.arange(len(lead))
                 if train[i] and known is not None:
-                    lead = lead[known.value[sketch.bucket(lead, known_bits)]]
-                out.append(" ".join([w[j] for j in order]))
+                    place = place[known.value[sketch.bucket(lead, known_bits)]]
+                    lead = lead[place]
+                out.append(" ".join(said[i]))
                 leads.append(lead.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(leads, pa.list_(pa.int64()))], names=["record_id", "train", "cls", "passage", "lead"])
+                places.append(place.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(sizes, pa.int32()), pa.array(leads, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["record_id", "train", "cls", "passage", "size", "lead", "place"],
+            )
 
-    return records.select("record_id", "train", "text").mapInArrow(run, "record_id bigint, train boolean, cls bigint, passage string, lead array<bigint>")
+    schema = "record_id bigint, train boolean, cls bigint, passage string, size int, lead array<bigint>, place array<int>"
+    return records.select("record_id", "train", "text").mapInArrow(run, schema)
 
 
 def leading_words(evals: DataFrame, bits: int = 20) -> np.ndarray:
@@ -106,106 +122,118 @@ def leading_words(evals: DataFrame, bits: int = 20) -> np.ndarray:
     return out
 
 
-def scan(evals: list[tuple[int, str, list[int]]], trains: Iterator[tuple[int, str]], t: float, shard: int, shards: int) -> Iterator[tuple[int, int, int, float]]:
-    """(eval cls, train cls, coverage, jaccard) of the pairs that meet in this shard and reach t."""
-    import ahocorasick
-
-    number: dict[str, int] = {}
-    sets, sizes = [], []
-    post: dict[int, dict[tuple[int, int], list[int]]] = {}  # leading word: (size, position): evaluation passages
-    for e, (_, passage, lead) in enumerate(evals):
-        ns = [number.setdefault(w, len(number)) for w in passage.split(" ")]
-        sets.append(frozenset(ns))
-        sizes.append(len(ns))
+RUN = 3  # words of a passage
+
+
+class Passages:
+    """The evaluation passages of a shard: an automaton over their runs, and the words of each record."""
+
+    def __init__(self, texts: list[str]):
+        import ahocorasick
+
+        self.sets, self.runs, number = [], [], {}
+        for text in texts:
+            ws = text.split(" ")
+            n = min(RUN, len(ws))
+            self.sets.append(frozenset(ws))
+            self.runs.append(frozenset(number.setdefault(" ".join(ws[i : i + n]), len(number)) for i in range(len(ws) - n + 1)))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for run, i in number.items():
+            self.machine.add_word(f" {run} ", i)
+        self.sizes = {i: run.count(" ") + 1 for run, i in number.items()}
+        if number:
+            self.machine.make_automaton()
+
+    def scan(self, text: str) -> list[tuple[int, int, int]]:
+        """(first word, last word, run) of all passages in the text, in the order of their ends."""
+        out, last, at = [], -1, 0
+        for end, run in self.machine.iter(f" {text} "):
+            last += text.count(" ", at, end - 1) + (not at)  # blanks before the end: the number of the last word
+            at = end - 1
+            out.append((last - self.sizes[run] + 1, last, run))
+        return out
+
+    def coverage(self, e: int, found: list[tuple[int, int, int]], text: list[str]) -> float:
+        """Share of the words of record e that stand in its merged passages in the text."""
+        upto, covered = -1, set()
+        for first, last, run in found:
+            if run in self.runs[e]:
+                covered.update(text[max(first, upto + 1) : last + 1])
+                upto = max(upto, last)
+        return len(covered & self.sets[e]) / len(self.sets[e])
+
+
+def meet(evals: list[tuple[int, str, list[int]]], trains: Iterator[tuple[int, str, int, list[int], list[int]]], t: float, shard: int, shards: int) -> Iterator[tuple[int, int, float, float]]:
+    """(evaluation class, training class, coverage, jaccard) of the pairs that meet in this shard and reach t. evals: (cls,
+    passage, lead); trains: (cls, passage, size, lead, place)."""
+    shelf = Passages([p for _, p, _ in evals])
+    post: dict[int, dict[tuple[int, int], list[int]]] = {}  # leading word: (size, place): evaluation records
+    for e, (_, _, lead) in enumerate(evals):
         for i, x in enumerate(lead):
             if x % shards == shard:
-                post.setdefault(ns[i], {}).setdefault((len(ns), i), []).append(e)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for w, n in number.items():
-        machine.add_word(f" {w} ", n)
-    machine.make_automaton()
-    places = {(a, i) for g in post.values() for a, i in g}
+                post.setdefault(x, {}).setdefault((len(shelf.sets[e]), i), []).append(e)
+    ends = {(a, i) for g in post.values() for a, i in g}
     share = t / (1 + t)
 
     @lru_cache(None)
     def fit(b: int, j: int) -> frozenset[tuple[int, int]]:
-        """The places of an evaluation passage whose word may be the first one shared with place j of a passage of b words."""
-        need = {a: int(np.ceil(share * (a + b) - 1e-9)) for a, _ in places}
-        return frozenset((a, i) for a, i in places if i <= a - need[a] and j <= b - need[a])
+        """The sizes and places of an evaluation word that may be the first one shared with place j of a set of b words."""
+        need = {a: int(np.ceil(share * (a + b) - 1e-9)) for a, _ in ends}
+        return frozenset((a, i) for a, i in ends if i <= a - need[a] and j <= b - need[a])
 
-    @lru_cache(None)
-    def leading(b: int) -> int:
-        return b - int(np.ceil(t * b - 1e-9)) + 1
-
-    for cls, passage in trains:
-        text = f" {passage} "
-        b = passage.count(" ") + 1
-        hits = list(machine.iter(text))  # (end, word): matched intervals of one word each, in order
+    for cls, passage, size, lead, place in trains:
         found: set[int] = set()
-        for end, n in hits:
-            groups = post.get(n)
-            if groups is None:
-                continue
-            j = text.count(" ", 0, end) - 1
-            if j >= leading(b):
-                break
-            may = fit(b, j)
-            for place, p in groups.items():
-                if place in may:
+        for x, j in zip(lead, place):
+            for at, p in post.get(x, {}).items():
+                if at in fit(size, j):
                     found.update(p)
-        if found:
-            # neighbouring intervals share their blank; merged, they cover one word per distinct match
-            matched = {n for _, n in hits}
-            for e in found:
-                c = len(sets[e] & matched)
-                jac = c / (sizes[e] + b - c)
-                if jac >= t - 1e-12:
-                    yield evals[e][0], cls, c, jac
-
-
-def class_overlaps(evals: DataFrame, trains: DataFrame, t: float, per_shard: int = 60_000, per_block: int = 50_000) -> DataFrame:
-    """(e, r, coverage, jaccard): evaluation class, training class, share of the evaluation passage's words that the training
-    passage covers, and similarity. evals and trains: (cls, passage, lead)."""
+        if not found:
+            continue
+        text = passage.split(" ")
+        own, hits = frozenset(text), None
+        for e in found:
+            c = len(shelf.sets[e] & own)
+            jac = c / (len(shelf.sets[e]) + size - c)
+            if jac >= t - 1e-12:
+                hits = shelf.scan(passage) if hits is None else hits
+                yield evals[e][0], cls, shelf.coverage(e, hits, text), jac
+
+
+def class_overlaps(evals: DataFrame, trains: DataFrame, t: float, per_shard: int = 20_000, per_block: int = 20_000) -> DataFrame:
+    """(e, r, coverage, jaccard): evaluation class, training class, share of the evaluation record's words that stand in its
+    passages in the training text, and similarity. evals and trains: (cls, passage, size, lead, place)."""
     spark = evals.sparkSession
     total = evals.select(F.sum(F.size("lead"))).first()[0] or 0
     shards = max(1, -(-total // per_shard))
     to = F.array_distinct(F.transform("lead", lambda x: F.pmod(x, F.lit(shards)).cast("int")))
-    # a class comes once from each task that met it; one copy is enough
-    one = lambda d: d.withColumn("shard", F.explode(to)).groupBy("shard", "cls").agg(F.first("passage").alias("passage"), F.first("lead").alias("lead"))
-    ev = one(evals)
-    tr = materialize(one(trains), "scanned")
-    counts = tr.groupBy("shard").count().collect()  # one row per shard
-    blocks = spark.createDataFrame([(r.shard, max(1, -(-r["count"] // per_block))) for r in counts] or [(0, 1)], "shard int, blocks int")
-    ev = ev.join(F.broadcast(blocks), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tr = tr.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-
-    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        rows = list(
-            scan(
-                list(zip(left["cls"].to_pylist(), left["passage"].to_pylist(), left["lead"].to_pylist())),
-                zip(right["cls"].to_pylist(), right["passage"].to_pylist()),
-                t,
-                shard,
-                shards,
-            )
-        )
-        size = {c: p.count(" ") + 1 for c, p in zip(left["cls"].to_pylist(), left["passage"].to_pylist())}
-        return pa.table(
-            {
-                "e": pa.array([r[0] for r in rows], pa.int64()),
-                "r": pa.array([r[1] for r in rows], pa.int64()),
-                "coverage": pa.array([r[2] / size[r[0]] for r in rows], pa.float64()),
-                "jaccard": pa.array([r[3] for r in rows], pa.float64()),
-            }
-        )
 
+    def dealt(d: DataFrame) -> DataFrame:
+        # a class comes once from each task that met it; one copy is enough
+        x = d.withColumn("shard", F.explode(to)).groupBy("shard", "cls").agg(F.first(F.struct("passage", "size", "lead", "place")).alias("x"))
+        return materialize(x.select("shard", "cls", "x.*"), "dealt")
+
+    ev, tr = dealt(evals), dealt(trains)
+    blocks = lambda d, to: d.groupBy("shard").agg(F.ceil(F.count("*") / per_block).cast("int").alias(to))
+    grid = materialize(blocks(ev, "ne").join(blocks(tr, "nt"), "shard"), "grid")  # one row per shard that both sides reach
+    cells = grid.agg(F.sum(F.col("ne") * F.col("nt"))).first()[0] or 1
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = ["shard", "i", "j"]
+    ev = ev.join(grid, "shard").withColumn("i", own("ne")).withColumn("j", all_of("nt")).select(*at, "cls", "passage", "lead")
+    tr = tr.join(grid, "shard").withColumn("i", all_of("ne")).withColumn("j", own("nt")).select(*at, "cls", "passage", "size", "lead", "place")
+
+    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = list(meet(list(zip(*(left[c].to_pylist() for c in ("cls", "passage", "lead")))), zip(*(right[c].to_pylist() for c in ("cls", "passage", "size", "lead", "place"))), t, key[0].as_py(), shards))
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("e", pa.int64()), ("r", pa.int64()), ("coverage", pa.float64()), ("jaccard", pa.float64())))})
+
+    # so many partitions that each has about one cell; they are not merged to larger ones
     return (
-        ev.select("shard", "block", "cls", "passage", "lead")
-        .groupBy("shard", "block")
-        .cogroup(tr.select("shard", "block", "cls", "passage").groupBy("shard", "block"))
-        .applyInArrow(meet, "e bigint, r bigint, coverage double, jaccard double")
-        .distinct()
+        ev.repartition(cells, *at)
+        .groupBy(*at)
+        .cogroup(tr.repartition(cells, *at).groupBy(*at))
+        .applyInArrow(cell, "e bigint, r bigint, coverage double, jaccard double")
+        .groupBy("e", "r")
+        .agg(F.max("coverage").alias("coverage"), F.max("jaccard").alias("jaccard"))
     )
 
 
@@ -218,10 +246,11 @@ def cross_split_overlaps(records: DataFrame, t: float = 0.75, bits: int = 18) ->
     records = records.where("record_id is not null and train is not null and text is not null")
     classes = spark.sparkContext.broadcast(sketch.frequency_classes(records.select("text"), _word_sets, bits))
     ev = materialize(passages(records.where("not train"), t, classes, bits, None).where("cls is not null"), "evaluation")
-    ev_lead = ev.where("passage is not null").select("cls", "passage", "lead")
+    cols = ["cls", "passage", "size", "lead", "place"]
+    ev_lead = ev.where("passage is not null").select(*cols)
     known = spark.sparkContext.broadcast(leading_words(ev_lead))
     tr = materialize(passages(records.where("train"), t, classes, bits, known).where("cls is not null"), "training")
-    tr_lead = tr.where("passage is not null and size(lead) > 0").select("cls", "passage", "lead")
+    tr_lead = tr.where("passage is not null and size(lead) > 0").select(*cols)
     pairs = class_overlaps(ev_lead, tr_lead, t)
     e = ev.select(F.col("cls").alias("e"), F.col("record_id").alias("eval_id")).distinct()
     r = tr.select(F.col("cls").alias("r"), F.col("record_id").alias("train_id")).distinct()

@@ -46,11 +46,28 @@ def test_many_shards_and_blocks(spark, monkeypatch):
 def test_nulls_copies_and_coverage(spark):
     rows = [(1, False, "Alpha beta gamma delta"), (2, True, "delta, GAMMA beta alpha!"), (2, True, "delta, GAMMA beta alpha!"), (3, True, None), (4, False, ""), (5, None, "alpha beta gamma delta"), (None, True, "alpha beta gamma delta"), (6, True, "alpha beta gamma delta epsilon"), (7, False, "为什么"), (8, True, "为什么！")]
     got = {(r.eval_id, r.train_id): (round(r.coverage, 3), round(r.jaccard, 3)) for r in overlap.cross_split_overlaps(frame(spark, rows)).collect()}
-    assert got == {(1, 2): (1.0, 1.0), (1, 6): (1.0, 0.8), (7, 8): (1.0, 1.0)}
+    assert got == {(1, 2): (0.0, 1.0), (1, 6): (1.0, 0.8), (7, 8): (1.0, 1.0)}  # 2 has the words in another order
     assert overlap.cross_split_overlaps(frame(spark, rows).limit(0)).collect() == []
     assert overlap.cross_split_overlaps(frame(spark, [(1, True, "a b")])).collect() == []
 
 
+def test_matched_intervals_are_merged():
+    p = overlap.Passages(["a b c d e f", "c d", "x y z"])
+    text = "q a b c d q q e f x y z"
+    found = p.scan(text)
+    assert [(a, z) for a, z, r in found if r in p.runs[0]] == [(1, 3), (2, 4)] and [(a, z) for a, z, r in found if r in p.runs[1]] == [(3, 4)]
+    assert [p.coverage(e, found, text.split(" ")) for e in range(3)] == [4 / 6, 1.0, 1.0]
+    assert p.scan("") == [] and overlap.Passages([]).sets == []
+
+
+def test_hot_word_is_dealt_to_cells(spark, monkeypatch):
+    rows = [(i, i % 2 == 0, f"hot a{i // 8} b{i // 8} c{i // 8}") for i in range(120)]
+    real = overlap.class_overlaps
+    monkeypatch.setattr(overlap, "class_overlaps", lambda e, r, t: real(e, r, t, per_shard=10_000, per_block=4))
+    got = {(r.eval_id, r.train_id) for r in overlap.cross_split_overlaps(frame(spark, rows), bits=8).collect()}
+    assert got == brute(rows) and len(got) == 15 * 16
+
+
 def test_split_names(spark):
     a = spark.createDataFrame([(1, "s", " Train\t", "q"), (2, "s", "DEV", "q"), (3, "s", None, "q"), (4, "s", "other", "q")], "question_id bigint, source string, split string, question string")
     b = spark.createDataFrame([(9, "s", "\xa0test", "q")], "variant_id bigint, source string, split string, result string")
