@@ -135,7 +135,7 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_pages.spam_pages(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+    return spam_pages.spam_pages(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id").distinct()
 
 
 @query

@@ -78,3 +78,12 @@ def test_spam_pages(spark):
     got = sorted(r.doc_id for r in spam_pages.spam_pages(df, "doc_id", "text").collect())
     assert got == [i for i, (_, w) in enumerate(CASES) if w]
     assert spam_pages.spam_pages(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_ratios_are_those_of_the_collection(spark):
+    odd = "Zyx qwv kjh gfd. " * 60  # prose of this collection repeats itself
+    df = spark.createDataFrame([(i, odd, "EN ") for i in range(40)] + [(100, PROSE * 4, "de"), (101, None, None)], "doc_id bigint, text string, lang string")
+    p = spam_pages.prose_ratios(df.where("text is not null"), "text", "lang")
+    assert p.known["other", "en"][3] < 0.2 < p.known["other", "de"][0] and p.known["han", ""] == list(spam_pages.USUAL["han"])
+    assert abs(p.redundancy(odd[:512], "en") - 1) < 0.1 and spam_pages.Prose().redundancy(odd[:512], "en") < 0.2
+    assert p.redundancy("short") == 1
