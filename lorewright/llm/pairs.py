@@ -1,9 +1,11 @@
 """Problem 4: defective answers of question-answer and prompt-response pairs, each with its kind of defect.
 
-Two sources of evidence. Rules look at one pair: empty, refusal, copy, other_language, and answers that break off. The
-collection adds what one pair can't show: all distinct responses are sorted, and a response that is a proper prefix of a
-later one and ends inside a sentence of it is a shortened version; response lengths at which unfinished texts pile up are
-length limits, and unfinished texts of such a length are cut.
+The collection adds to what one pair shows. All distinct responses, without marks, citations and labels, are sorted, and one
+that is a proper prefix of a later one and ends inside a sentence of it is a shortened version. Response lengths at which
+unfinished texts pile up, and beyond which there are fewer texts than that, are length limits, and unfinished texts of such
+a length are cut. The words that tell the languages apart are learned from all responses, starting from function words.
+Rules then look at each pair: empty, copy, refusal, other_language, and texts that break off. ``evidence`` counts what each
+source of evidence found: where the longer version of a cut text isn't in the collection, only the text itself can show it.
 
 Defined results: a null or blank text is ``empty`` (a null question too, then only empty, refusal and truncated are told);
 at most one defect per text, in the order empty, copy, refusal, other_language, truncated; repeated rows count once; texts are
@@ -12,7 +14,9 @@ read whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +65,27 @@ _FILLER = re.compile(
     r"|tut mir leid|es tut mir|leider\b|entschuldig|bitte\b|désolé|malheureusement|veuillez|lo siento|lamentablemente|por favor|disculp|抱歉|对不起|很遗憾|请)"
 )
 
-# fixed values: frequent function words of each language that the others lack
+# fixed values: function words (articles, pronouns, prepositions, conjunctions, auxiliaries, question words) of each language
 _WORDS = {
-    "en": "the of and is was by which from has have with as that this they what who how when where why does can under between should will for only because both while to cannot not after before within it its are yes on at",
-    "de": "der das und ist nicht mit von dem den wenn wird hat bei nach aus ein eine einen einer für auf weil ob oder nur noch wie wer warum welche welchen seit zum zur im schon ihn vor durch gilt darf",
-    "fr": "le les des du est pour dans qui avec une par sur pas ne car chez dès au aux ce cette il elle avant après déjà quel quelle quels quelles combien pourquoi que reste seule puis sont peut ont ceux reçoivent jours semaines si",
-    "es": "el los las del por con una para se al lo su y o pero antes después qué quién cuánto cuál cuáles puede porque ya sin como está esta este desde hace hasta pide en plazo solo días semanas según quien final decide",
+    "en": "the a an of and or is are was were be been by which from has have had with as that this these those they them their it its he she his her we you your i what who how when where why does do did can could would should may might must will under between for only because both while to cannot not no after before within if than then there here yes on at in into about over all any each more most other some such but so up out until since once already though although whether yet",
+    "de": "der die das den dem des ein eine einen einer einem eines und oder aber nicht kein keine mit von vom zu zum zur im in am an auf aus bei nach vor über unter durch für gegen ohne um bis seit wenn weil dass ob als wie wer was wann wo warum welche welcher welches welchen wird werden wurde ist sind war hat haben hatte kann können darf muss soll er sie es wir ihr ihn ihm ihnen sich nur noch schon auch sehr so dann doch jedoch sondern damit sofern sobald",
+    "fr": "le la les l un une des du de d au aux et ou mais ne pas plus que qui quoi dont où quand comment pourquoi quel quelle quels quelles combien est sont était été être a ont avait avoir peut peuvent doit ce cet cette ces il elle ils elles on nous vous je se sa son ses leur leurs y en dans par pour sur sous avec sans entre vers chez dès depuis avant après pendant car si comme puis donc aussi déjà encore ceux celle celui",
+    "es": "el la los las un una unos unas de del al a y o u e pero no ni que quien quién qué cuándo cómo dónde por porque para con sin sobre entre hasta desde hacia en es son era fue ser está están estar ha han había puede pueden debe se su sus lo le les me te nos esta este estas estos ese esa eso esto como cuando donde si ya muy más menos también tras según antes después cuánto cuántos cuál cuáles pues aunque mientras",
 }
-_INDEX: dict[str, set[str]] = {}
+_INDEX: dict[str, frozenset[str]] = {}
 for _k, _v in _WORDS.items():
     for _w in _v.split():
-        _INDEX.setdefault(_w, set()).add(_k)
+        _INDEX[_w] = _INDEX.get(_w, frozenset()) | {_k}
+
+
+def _votes(words: list[str], index: dict[str, frozenset[str]]) -> dict[str, float]:
+    v = {k: 0.0 for k in _WORDS}
+    for w in words:
+        if w in index:
+            share = index[w]
+            for k in share:
+                v[k] += 1 / len(share)
+    return v
 
 
 def _clean(t: str) -> str:
@@ -91,16 +105,11 @@ class Text:
 
     __slots__ = ("raw", "plain", "words", "lang", "votes")
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, index: dict[str, frozenset[str]] = _INDEX):
         self.raw = raw
         self.plain = _plain(raw)
         self.words = _WORD.findall(self.plain.lower())
-        v = {"en": 0.0, "de": 0.0, "fr": 0.0, "es": 0.0}
-        for w in self.words:
-            if w in _INDEX:
-                share = _INDEX[w]
-                for k in share:
-                    v[k] += 1 / len(share)
+        v = _votes(self.words, index)
         v["zh"] = 0.0 if self.plain.isascii() else len(_HAN.findall(self.plain)) / 1.5
         a, b = sorted(v.values())[-2:][::-1]
         self.votes = v
@@ -111,13 +120,8 @@ def is_empty(t: Text | None) -> bool:
     return t is None or (len(t.plain) < 40 or not t.words) and bool(_NOTHING.match(t.plain))
 
 
-# every alternative of the expression without Han characters holds one of these; it is tried only then
-_TRIGGER = ("n't", "n’t", "not", "no ", "cant", "unable", "decline", "refuse", "beyond", "silent", "nicht", "keine", "peux", "puis", "suis", "disent")
-
-
 def is_refusal(t: Text) -> bool:
     """Every sentence declines, or is a polite filler, and at least one declines."""
-    han = t.votes["zh"] > 0
     found = False
     rest = t.plain.lower()
     while rest:
@@ -126,7 +130,7 @@ def is_refusal(t: Text) -> bool:
         words = _WORD.findall(s)
         if not words:
             continue
-        if (han or any(w in s for w in _TRIGGER)) and _REFUSAL.search(s):
+        if _REFUSAL.search(s):
             found = True
         elif len(words) > 12 or not _FILLER.match(s):
             return False
@@ -185,12 +189,12 @@ def unfinished(t: str) -> bool:
     return len(words) >= 4 and sum(w[0].islower() for w in words) >= 2 or len(words) > 8
 
 
-def rule(raw: str | None, question: str | None) -> str | None:
+def rule(raw: str | None, question: str | None, index: dict[str, frozenset[str]] = _INDEX) -> str | None:
     """The defect that the pair itself shows."""
-    t = None if raw is None else Text(raw)
+    t = None if raw is None else Text(raw, index)
     if is_empty(t):
         return "empty"
-    q = Text(question) if question else None
+    q = Text(question, index) if question else None
     if q and is_copy(t, q):
         return "copy"
     if is_refusal(t):
@@ -200,28 +204,61 @@ def rule(raw: str | None, question: str | None) -> str | None:
     return "truncated" if unfinished(raw) else None
 
 
+def language_words(texts: DataFrame, sure: float = 0.9, share: float = 0.001) -> dict[str, frozenset[str]]:
+    """The function words, and what the collection adds: words of at least ``share`` of its texts of which ``sure`` stand in
+    texts whose function words speak clearly for one language. texts: (text). At most one row per frequent word is collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = _WORD.findall(t.lower())
+                v = _votes(words, _INDEX)
+                second, first = sorted(v.values())[-2:]
+                lang = max(v, key=v.get) if first >= 3 and first >= 3 * second else ""
+                n.update((w, lang) for w in set(words) if not w.isdigit())
+                n["", lang] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "lang", "n"])
+
+    said = texts.where("text is not null").select("text").mapInArrow(run, "word string, lang string, n bigint")
+    known = F.sum(F.when(F.col("lang") != "", F.col("n")).otherwise(0))
+    per = materialize(said.groupBy("word", "lang").agg(F.sum("n").alias("n")), "words").groupBy("word").agg(F.sum("n").alias("all"), known.alias("known"), F.max_by("lang", F.when(F.col("lang") != "", F.col("n")).otherwise(0)).alias("lang"), F.max(F.when(F.col("lang") != "", F.col("n")).otherwise(0)).alias("most"))
+    total = per.where("word = ''").first()
+    if total is None:
+        return _INDEX
+    rows = per.where((F.col("word") != "") & (F.col("all") >= share * total["all"]) & (F.col("known") >= 0.5 * F.col("all")) & (F.col("most") >= sure * F.col("known"))).collect()
+    return {**{r.word: frozenset([r.lang]) for r in rows if r.lang and r.most >= 5}, **_INDEX}
+
+
+_BLANKS, _LINES, _MARKS = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*"), re.compile(r" +([.,;:!?。！？])")
+
+
+def comparable(t: str) -> str:
+    """A response as it is sorted: in lower case, without marks, citations, labels and repeated blanks."""
+    return _MARKS.sub(r"\1", _LINES.sub("\n", _BLANKS.sub(" ", _plain(t).lower()))).strip()
+
+
 _HASH = "xxhash64(text)"
 
 
-def _judged(records: DataFrame) -> DataFrame:
-    """(record_id, field, defect, open, n, h): the rule's verdict, whether the end is open, length and hash of the text."""
-    schema = "record_id bigint, field string, defect string, open boolean, n int, h bigint"
+def _judged(records: DataFrame, index) -> DataFrame:
+    """(record_id, field, defect, open, n, text): the rule's verdict, whether the end is open, the length, and the text to be
+    compared with others, null where the rule found another defect than truncated."""
+    schema = "record_id bigint, field string, defect string, open boolean, n int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fields, texts, questions, h = (c for c in b.columns)
+            ids, fields, texts, questions = b.columns
             tx, qs = texts.to_pylist(), questions.to_pylist()
-            found = [rule(t, q) for t, q in zip(tx, qs)]
-            is_open = [f is None and t is not None and not _END.search(t.rstrip()) for f, t in zip(found, tx)]
+            found = [rule(t, q, index.value) for t, q in zip(tx, qs)]
+            is_open = [f == "truncated" or f is None and not _END.search(t.rstrip()) for f, t in zip(found, tx)]
+            plain = [comparable(t) if f in (None, "truncated") else None for f, t in zip(found, tx)]
             yield pa.RecordBatch.from_arrays(
-                [ids, fields, pa.array(found, pa.string()), pa.array(is_open, pa.bool_()), pa.array([len(t or "") for t in tx], pa.int32()), h],
-                names=["record_id", "field", "defect", "open", "n", "h"],
+                [ids, fields, pa.array(found, pa.string()), pa.array(is_open, pa.bool_()), pa.array([len(t or "") for t in tx], pa.int32()), pa.array(plain, pa.string())],
+                names=["record_id", "field", "defect", "open", "n", "text"],
             )
 
-    return records.select("record_id", "field", "text", "question", F.expr(_HASH).alias("h")).mapInArrow(run, schema)
-
-
-_MID = re.compile(r"[^\W_]|[,;:%)\]’'-]")
+    return records.select("record_id", "field", "text", "question").mapInArrow(run, schema).withColumn("h", F.expr(_HASH))
 
 
 def _shortened_of(t: str, longer: str) -> bool:
@@ -285,26 +322,49 @@ def shortened(texts: DataFrame) -> DataFrame:
     return found.union(texts.where("text is not null").select("text").mapInArrow(look, "h bigint"))
 
 
-def length_limits(judged: DataFrame, least: int = 100, times: float = 8.0) -> list[int]:
-    """Lengths of ``least`` or more at which open-ended texts are ``times`` as many as at the 20 lengths around (at most one
-    row per length comes to the driver)."""
-    c = judged.where(F.col("open") & (F.col("n") >= least)).groupBy("n").count().collect()
-    count = {r.n: r["count"] for r in c}
-    return sorted(n for n, k in count.items() if k >= 20 and k > times * (1 + np.mean([count.get(n + d, 0) for d in range(-10, 11) if d])))
+def _rare(k: int, mean: float) -> float:
+    """Probability of k or more where ``mean`` are expected (Chernoff's bound of a Poisson count)."""
+    return 1.0 if k <= mean else math.exp(k - mean - k * math.log(k / mean))
+
+
+def length_limits(judged: DataFrame, chance: float = 0.001) -> list[tuple[str, int]]:
+    """(field, length) of the length limits: lengths that more open-ended texts have than chance lets expect from the ten
+    lengths on either side, and than there are texts beyond. One row per field and length comes to the driver."""
+    c = judged.groupBy("field", "n").agg(F.count("*").alias("all"), F.count_if("open").alias("open")).collect()
+    out = []
+    for field in {r.field for r in c}:
+        open_, beyond = {r.n: r.open for r in c if r.field == field}, 0
+        for r in sorted((r for r in c if r.field == field), key=lambda r: -r.n):
+            mean = (1 + sum(open_.get(r.n + d, 0) for d in range(-10, 11) if d)) / 20
+            if r.open > beyond and _rare(r.open, mean) < chance / len(open_):
+                out.append((field, r.n))
+            beyond += r["all"]
+    return sorted(out)
+
+
+def _evidence(records: DataFrame) -> DataFrame:
+    """(record_id, field, defect, neighbour, limit): verdict of the rules, and whether a longer version or a limit tells that
+    the text is cut."""
+    index = records.sparkSession.sparkContext.broadcast(language_words(records.select("text")))
+    judged = materialize(_judged(records, index), "judged")
+    limits = [F.col("open") & (F.col("field") == f) & (F.col("n") == n) for f, n in length_limits(judged)]
+    cut = shortened(judged.select("text")).distinct()
+    at_limit = F.lit(False)
+    for x in limits:
+        at_limit = at_limit | x
+    return judged.join(cut.withColumn("cut", F.lit(True)), "h", "left").select("record_id", "field", "defect", F.coalesce("cut", F.lit(False)).alias("neighbour"), F.coalesce(at_limit, F.lit(False)).alias("limit"))
 
 
 def defects(records: DataFrame) -> DataFrame:
     """(record_id, field, defect). records: (record_id, field, text, question)."""
-    judged = materialize(_judged(records), "judged")
-    limits = length_limits(judged)
-    cut = shortened(records.select("text")).distinct()
-    j = judged.join(cut.withColumn("cut", F.lit(True)), "h", "left")
-    at_limit = F.col("open") & F.col("n").isin(limits) if limits else F.lit(False)
-    return (
-        j.select("record_id", "field", F.coalesce("defect", F.when(F.col("cut") | at_limit, "truncated")).alias("defect"))
-        .where("defect is not null")
-        .distinct()
-    )
+    cut = F.when(F.col("neighbour") | F.col("limit"), "truncated")
+    return _evidence(records).select("record_id", "field", F.coalesce("defect", cut).alias("defect")).where("defect is not null").distinct()
+
+
+def evidence(records: DataFrame) -> DataFrame:
+    """(defect, by_rule, by_neighbour, by_limit, texts): how many texts each combination of evidence tells to be defective."""
+    e = _evidence(records).distinct().where("defect is not null or neighbour or limit")
+    return e.groupBy(F.coalesce("defect", F.lit("truncated")).alias("defect"), F.col("defect").isNotNull().alias("by_rule"), F.col("neighbour").alias("by_neighbour"), F.col("limit").alias("by_limit")).agg(F.count("*").alias("texts"))
 
 
 def prompt_question(prompt: str = "prompt"):

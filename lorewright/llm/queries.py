@@ -73,6 +73,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(_table(spark, sf_dir, "rephrased_questions"), _table(spark, sf_dir, "preference_pairs"))
 
 
+@query
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many defective texts the rules, a longer version among the responses, and a length limit tell."""
+    return pairs.evidence(pairs.pair_records(_table(spark, sf_dir, "rephrased_questions"), _table(spark, sf_dir, "preference_pairs")))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies.near_pairs(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context", n=3, t=0.6)

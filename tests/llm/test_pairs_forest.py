@@ -112,10 +112,37 @@ def test_tables_and_intended_refusals(spark):
     assert {tuple(x) for x in pairs.defective_pairs(r, p).collect()} == {(2, "answer", "refusal"), (7, "rejected", "copy"), (8, "chosen", "refusal"), (9, "rejected", "empty")}
 
 
+def judged(spark, lengths):
+    return spark.createDataFrame([(i, "answer", None, o, n) for i, (n, o) in enumerate(lengths)], "record_id bigint, field string, defect string, open boolean, n int")
+
+
 def test_length_limits(spark):
-    rows = [(i, "answer", "word " * 30 + "x" * (i % 40), Q) for i in range(80)] + [(1000 + i, "answer", f"{i:04d}" + "z" * 196, Q) for i in range(60)]
-    df = spark.createDataFrame([(k, f, None, True, len(t), i) for i, (k, f, t, q) in enumerate(rows)], "record_id bigint, field string, defect string, open boolean, n int, h bigint")
-    assert pairs.length_limits(df) == [200]
+    plain = [(150 + i % 40, False) for i in range(400)] + [(150 + i, True) for i in range(0, 40, 3)]
+    assert pairs.length_limits(judged(spark, plain)) == []
+    assert pairs.length_limits(judged(spark, plain + [(200, True)] * 9)) == [("answer", 200)]  # nine are enough
+    assert pairs.length_limits(judged(spark, [(n // 4, o) for n, o in plain] + [(50, True)] * 40)) == [("answer", 50)]  # so is a short limit
+    assert pairs.length_limits(judged(spark, plain + [(20, True)] * 60)) == []  # short answers of one length: most texts are longer
+    assert pairs.length_limits(judged(spark, [])) == []
+
+
+def test_words_of_a_language_are_learned(spark):
+    en = [f"The signed {w} is sent to the office before it closes, and the clerk keeps it." for w in ("form", "letter", "list", "map") * 5]
+    fr = [f"Le clerc garde la {w} dans le bureau et il la rend après deux semaines." for w in ("lettre", "liste", "carte", "note") * 5]
+    index = pairs.language_words(spark.createDataFrame([(t,) for t in [*en, *fr, "12 Dafo", None]], "text string"))
+    assert index["clerk"] == {"en"} and index["semaines"] == {"fr"} and index["the"] == {"en"} and "dafo" not in index and "12" not in index
+    assert pairs.rule("Clerc bureau semaines rend garde deux.", "The clerk keeps the signed office list?", index) == "other_language"
+    assert pairs.language_words(spark.createDataFrame([], "text string")) == pairs._INDEX
+
+
+def test_comparable_texts():
+    assert pairs.comparable("**Answer:** The  map [Clue 3-5] .\n\n Next") == "the map.\nnext"
+
+
+def test_evidence(spark):
+    full = "Dafo Miru signs the letter"
+    rows = [(1, "answer", full + ".", Q), (2, "answer", "**dafo  miru** [Clue 2]", Q), (3, "chosen", None, None), (4, "answer", full + " and the", Q)]
+    got = {(r.defect, r.by_rule, r.by_neighbour, r.by_limit): r.texts for r in pairs.evidence(spark.createDataFrame(rows, "record_id bigint, field string, text string, question string")).collect()}
+    assert got == {("truncated", False, True, False): 1, ("empty", True, False, False): 1, ("truncated", True, False, False): 1}
 
 
 def vectors(n=400, dim=16, seed=1):
