@@ -215,7 +215,7 @@ def language_words(texts: DataFrame, sure: float = 0.9, share: float = 0.001) ->
                 words = _WORD.findall(t.lower())
                 v = _votes(words, _INDEX)
                 second, first = sorted(v.values())[-2:]
-                lang = max(v, key=v.get) if first >= 3 and first >= 3 * second else ""
+                lang = max(v, key=v.get) if first >= 3 and first >= 2 * second else ""
                 n.update((w, lang) for w in set(words) if not w.isdigit())
                 n["", lang] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "lang", "n"])
