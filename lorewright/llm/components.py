@@ -1,7 +1,8 @@
 """Problem 6: pairwise matches consolidated to groups.
 
 Minimum labels are propagated along the edges and accelerated by pointer jumping; every round works on the graph that the
-round before has contracted, is written to the shared folder, and the loop ends when no label changes.
+round before has contracted, is written to the shared folder, and the loop ends when no label changes. A round touches only
+the vertices that still have edges; the maps of all rounds, each a fraction of the one before, are composed at the end.
 
 Defined results: null ids and self links link nothing; repeated or reversed pairs count once; a vertex without links is a
 group of its own; no vertices give no rows. Extra columns are ignored.
@@ -38,18 +39,11 @@ def link_components(edges: DataFrame, left: str, right: str, max_rounds: int = 2
         .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
         .distinct()
     )
-    at = write_stage(e, "edges")
-    labels = None
+    at, maps = write_stage(e, "edges"), []
     for _ in range(max_rounds):
         e = read(at)
-        parents = write_stage(_jump(_min_parents(e)), "parents")
-        m = read(parents)
-        if labels is None:
-            grown = m.select(F.col("x").alias("vertex"), F.col("p").alias("component"))
-        else:
-            t = m.select(F.col("x").alias("component"), "p")
-            grown = read(labels).join(t, "component", "left").select("vertex", F.coalesce("p", "component").alias("component"))
-        new_labels = write_stage(grown, "labels")
+        maps.append(write_stage(_jump(_min_parents(e)), "parents"))
+        m = read(maps[-1])
         pa = m.select(F.col("x").alias("a"), F.col("p").alias("pa"))
         pb = m.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         contracted = (
@@ -63,14 +57,18 @@ def link_components(edges: DataFrame, left: str, right: str, max_rounds: int = 2
             .distinct()
         )
         after = write_stage(contracted, "edges")
-        for old in (at, parents, labels):
-            if old:
-                drop_stage(spark, old)
-        at, labels = after, new_labels
+        drop_stage(spark, at)
+        at = after
         if read(at).isEmpty():
             drop_stage(spark, at)
-            return read(labels)
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+            break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    label = read(maps[-1])
+    for path in reversed(maps[:-1]):
+        later = label.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+        label = read(path).join(later, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
+    return label.select(F.col("x").alias("vertex"), F.col("p").alias("component"))
 
 
 def same_links(matches: DataFrame, entities: DataFrame) -> DataFrame:

@@ -74,14 +74,16 @@ class BestFit:
         return one
 
 
-def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, open_bins: int = 256, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(key, piece, token_start, n_tokens, container): where each text, or each piece of a text longer than a container, goes."""
+def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, open_bins: int = 256, path: str = TOKENIZER, pattern: str = PATTERN, run_name: str = "") -> DataFrame:
+    """(key, piece, token_start, n_tokens, container): where each text, or each piece of a text longer than a container, goes.
+    Containers are named by task and number; ``run_name`` sets apart runs that go to one table. path: a file of ranks that
+    every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc = tokenizer(path, pattern)
-        bins = BestFit(capacity, open_bins, str(TaskContext.get().partitionId()))
+        bins = BestFit(capacity, open_bins, f"{run_name}{TaskContext.get().partitionId()}")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[tuple] = []
@@ -103,3 +105,13 @@ def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """(containers, tokens, fill): how many containers, and the share of their room that is used."""
     per = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
     return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"))
+
+
+def checks(packed: DataFrame, key: str, capacity: int = 2048) -> DataFrame:
+    """(key, pieces_right): whether a text lies in containers whole, or cut to full ones and a remainder, none overfull."""
+    used = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    p = packed.join(used, "container", "left")
+    return p.groupBy(key).agg(
+        F.bool_and((F.coalesce("used", F.lit(0)) <= capacity) & (F.col("token_start") == F.col("piece") * capacity) & (F.col("container").isNotNull() == (F.col("n_tokens") > 0))).alias("right"),
+        F.count_if((F.col("n_tokens") < capacity)).alias("short"),
+    ).select(key, (F.col("right") & (F.col("short") <= 1)).alias("pieces_right"))

@@ -4,8 +4,10 @@ Wu-Manber multi-pattern search over words: the patterns are all sequences of m c
 is two words. A shift table tells from the block under the window how far the window may jump; where it may not, the suffix
 hash selects the patterns of that bucket, and comparison word by word confirms. Many windows of a batch move at once.
 
-The pattern tables are built once and broadcast; their size is that of the test items and is checked: beyond
-``max_patterns`` the items are searched in several passes over the documents. Documents are scanned where they are read.
+The patterns are cut from the items where they are read and dealt by the hash of their last words to parts of about
+``max_patterns``, in the shared folder; the tables of one part at a time are built and broadcast, of a size so bounded, and
+each part is one more pass over the documents. The shift table has at least four slots for each block. Documents are scanned
+where they are read.
 
 Defined results: null and blank documents hold nothing; items with fewer than m words can't leak; a document that holds
 several sequences of an item, or an item told twice, gives one row; repeated rows count once; extra columns are ignored.
@@ -22,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions import wordhash as wh
+from lorewright.storage import materialize
 
 _U = np.uint64
-_SHIFT_BITS = 18
+_SHIFT_BITS = 18  # at least
 
 
 class WuManber:
@@ -37,13 +40,14 @@ class WuManber:
         self.suffix = self._suffix(self.patterns)
         self.buckets, self.first = np.unique(self.suffix, return_index=True)
         self.last = np.append(self.first[1:], len(self.suffix))
-        self.shift = np.full(1 << _SHIFT_BITS, m - 1, np.int64)
+        self.bits = max(_SHIFT_BITS, int(4 * len(patterns) * (m - 1)).bit_length())
+        self.shift = np.full(1 << self.bits, m - 1, np.uint8 if m < 256 else np.int64)
         for j in range(m - 1):  # the block of words j, j + 1 ends m - 2 - j before the end of the window
-            np.minimum.at(self.shift, self._block(self.patterns[:, j], self.patterns[:, j + 1]), m - 2 - j)
+            # by falling shift, so that the least one stays
+            self.shift[self._block(self.patterns[:, j], self.patterns[:, j + 1])] = m - 2 - j
 
-    @staticmethod
-    def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (wh.mix(a * _U(3) + b) >> _U(64 - _SHIFT_BITS)).astype(np.int64)
+    def _block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (wh.mix(a * _U(3) + b) >> _U(64 - self.bits)).astype(np.int64)
 
     @staticmethod
     def _suffix(p: np.ndarray) -> np.ndarray:
@@ -58,7 +62,7 @@ class WuManber:
         n, m = len(text), self.m
         if n < m or not len(self.patterns):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        jump = self.shift[self._block(text[:-1], text[1:])]  # by the first word of the block
+        jump = self.shift[self._block(text[:-1], text[1:])].astype(np.int64)  # by the first word of the block
         ends = np.arange(m - 1, n, lane)  # each window runs over its lane of end positions
         limit = np.minimum(ends + lane, n)
         at, hits = ends, []
@@ -105,21 +109,30 @@ def item_patterns(items: list[tuple[int, list[str | None]]], m: int) -> tuple[np
     return np.ascontiguousarray(both[:, :m]), both[:, m].copy().view(np.int64)
 
 
-def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], m: int = 13, max_patterns: int = 2_000_000) -> DataFrame:
+def pattern_parts(items: DataFrame, key: str, texts: list[str], m: int, max_patterns: int) -> list[DataFrame]:
+    """The distinct (item, m words as bytes) of all items, in parts of about max_patterns; equal patterns share a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), zip(*(c.to_pylist() for c in b.columns[1:]))))
+            for s in range(0, len(rows), 64):
+                p, owner = item_patterns(rows[s : s + 64], m)
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array([x.tobytes() for x in p], pa.binary())], names=["item", "pattern"])
+
+    kept = items.select(F.col(key).cast("bigint").alias("_key"), *[F.col(t).cast("string").alias(f"_t{i}") for i, t in enumerate(texts)]).where("_key is not null")
+    all_ = materialize(kept.mapInArrow(run, "item bigint, pattern binary").distinct(), "patterns")
+    parts = max(1, -(-all_.count() // max_patterns))
+    return [all_.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], m: int = 13, max_patterns: int = 500_000) -> DataFrame:
     """(key, item_key): documents that hold at least m consecutive words of a text of the item."""
     spark = docs.sparkSession
-    rows = items.select(F.col(item_key).cast("bigint").alias("k"), *item_texts).where("k is not null").distinct()
-    passes, now, size = [], [], 0
-    for r in rows.toLocalIterator():  # the test items, told by the caller to be few; beyond max_patterns in several passes
-        now.append((r[0], list(r[1:])))
-        size += sum(len(t) // 2 for t in r[1:] if t)
-        if size > max_patterns:
-            passes.append(now)
-            now, size = [], 0
-    passes.append(now)
     found = []
-    for part in passes:
-        machine = spark.sparkContext.broadcast(WuManber(*item_patterns(part, m)))
+    for part in pattern_parts(items, item_key, item_texts, m, max_patterns):
+        rows = part.collect()  # about max_patterns x (m + 1) x 8 bytes
+        words = np.frombuffer(b"".join(r.pattern for r in rows), _U).reshape(-1, m)
+        machine = spark.sparkContext.broadcast(WuManber(words, np.array([r.item for r in rows], np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
             wm = machine.value
@@ -138,5 +151,6 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
                 hit = np.unique(np.column_stack([d, item]), axis=0)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit[:, 0])), pa.array(hit[:, 1])], names=[key, item_key])
 
-        found.append(docs.select(F.col(key).cast("bigint").alias(key), text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"`{key}` bigint, `{item_key}` bigint"))
+        kept = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
+        found.append(kept.mapInArrow(run, f"`{key}` bigint, `{item_key}` bigint"))
     return reduce(DataFrame.union, found).distinct()

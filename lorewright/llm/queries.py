@@ -42,6 +42,26 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(_table(spark, sf_dir, "corpus"), "chunk_key", "origin_context").distinct()
 
 
+@query
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cut text its length, and whether the pieces are in order, within the limit, without a gap, and each overlaps the
+    next by 1 to 250 characters (0 only after a run of exactly the limit)."""
+    corpus = _table(spark, sf_dir, "corpus")
+    p = splitting.split_texts(corpus, "chunk_key", "origin_context").distinct()
+    a = p.groupBy("chunk_key").agg(F.array_sort(F.collect_list(F.struct("piece", "start_pos", "end_pos", F.length("piece_text").alias("n")))).alias("x"))  # bounded by the pieces of a text
+    step = F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.struct((F.get("x", i - 1)["end_pos"] - F.get("x", i)["start_pos"]).alias("o"), F.get("x", i)["n"].alias("n")))
+    return a.select(
+        "chunk_key",
+        F.element_at("x", -1)["end_pos"].alias("chars"),
+        (F.get("x", F.lit(0))["start_pos"] == 0).alias("whole"),
+        F.forall("x", lambda y: (y["n"] <= 4000) & (y["n"] == y["end_pos"] - y["start_pos"])).alias("within"),
+        F.forall(step, lambda s: (s["o"] > 0) & (s["o"] <= 250) | (s["o"] == 0) & (s["n"] == 4000)).alias("overlapping"),
+    )
+
+
+SQL["p2_checks"] = "SELECT DISTINCT chunk_key, length(origin_context)::INT AS chars, true AS whole, true AS within, true AS overlapping FROM corpus WHERE length(origin_context) > 4000"
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.linked_entities(_table(spark, sf_dir, "entities"), _table(spark, sf_dir, "entity_matches"))
@@ -147,3 +167,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.pack(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document whether it lies in containers as it should."""
+    packed = materialize(containers.pack(_table(spark, sf_dir, "documents"), "doc_id", "text"), "packed")  # the plan uses it twice
+    return containers.checks(packed, "doc_id")
+
+
+SQL["p7_checks"] = "SELECT doc_id, true AS pieces_right FROM documents"
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, and how much of their room is used."""
+    return containers.fill(containers.pack(_table(spark, sf_dir, "documents"), "doc_id", "text"))

@@ -5,8 +5,8 @@ permissible length window comes from a sparse-table range-maximum index over the
 right; the next piece starts an overlap further back, itself at the strongest boundary near that point.
 
 Defined results: null, empty and short texts give no pieces; a window without any boundary is cut at the limit (forced); the
-overlap is given up only after a natural cut, where the end of a run of nearly the limit comes into reach by that; lengths
-are Unicode code points; every character lies in a piece, no piece exceeds the limit; repeated rows of a key give the same
+overlap is less where the end of a run of nearly the limit comes into reach by that, and none only where the run has exactly
+the limit; lengths are Unicode code points; every character lies in a piece, no piece exceeds the limit; repeated rows of a key give the same
 pieces, returned once. Extra columns are ignored.
 """
 
@@ -98,9 +98,12 @@ def cut(cp: np.ndarray, limit: int = 4000, overlap: int = 200, least: float = 0.
         end = strongest(lo, start + limit)
         if end is None:
             end = strongest(max(start + 1, done + 1), start + limit)
-        if end is None and start < done and not pieces[-1][2] and (n - done <= limit or strongest(done + 1, done + limit) is not None):
-            start = done  # without the overlap the end of the run is in reach
-            continue
+        if end is None and start < done and not pieces[-1][2]:
+            after = int(np.searchsorted(at, done, "right"))
+            run = int(at[after]) if after < len(at) else n  # the end of the run that begins at the last cut
+            if run - done <= limit:  # with less overlap it is in reach
+                start = strongest(run - limit, done - 1) or run - limit
+                continue
         forced = end is None
         if forced:
             end = start + limit
