@@ -35,31 +35,31 @@ _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*|\n+")
 _HAN = re.compile(r"[㐀-鿿]")
 
-_REFUSAL = re.compile(
-    "|".join(
-        (
-            r"\b(?:can(?:'|’)?t|cannot|could not|couldn(?:'|’)t|won(?:'|’)t be able to|unable to|not able to) (?:help|assist|answer|respond|provide|comment|discuss|give|say|tell|offer|share|do that|fulfil)",
-            r"\b(?:must|have to|need to) (?:decline|refuse)\b",
-            r"\bdecline to (?:answer|comment|respond|help)",
-            r"\brather not (?:answer|comment|say|discuss)",
-            r"\b(?:don(?:'|’)t|do not) have (?:enough|any|sufficient|the) (?:information|data|context|details)",
-            r"\b(?:i )?(?:have no way of knowing|don(?:'|’)t know|do not know|have no (?:information|knowledge|idea))",
-            r"\bbeyond what i (?:can|may)\b",
-            r"\b(?:sources?|documents?|texts?|context|passages?)\b.{0,40}\b(?:silent|(?:do|does) ?n(?:o|')t (?:say|mention|contain|tell|state)|say nothing|says nothing)",
-            r"\bnothing in (?:the|my)\b.{0,40}\b(?:answer|respond|tell)",
-            r"\b(?:isn(?:'|’)t|not) possible for me\b",
-            r"\bno evidence in\b.{0,40}\bno answer\b",
-            r"\bno answer can be given\b",
-            r"\b(?:kann|darf|möchte) (?:ich|dazu|dabei)\b.{0,40}\bnicht\b.{0,20}\b(?:beantworten|helfen|sagen|antworten)?",
-            r"\bdabei darf ich nicht\b|\bliegen mir keine\b|\bkeine (?:angaben|informationen)\b",
-            r"\b(?:ne|n')\s?(?:peux|puis|suis)\b.{0,40}\b(?:pas|répondre|aider)\b",
-            r"\bn(?:'|’)en disent rien\b|\bne disent rien\b",
-            r"\bno (?:puedo|podemos|me es posible)\b.{0,40}\b(?:responder|ayudar|contestar|decir)",
-            r"\bno dicen nada\b|\bno tengo (?:información|datos)\b",
-            r"(?:无法|不能|不便|没办法)(?:回答|作答|提供|帮)|帮不了|没有相关(?:内容|信息|资料)|不能作答",
-        )
+#: ways to decline, each with what any match of it holds, so that most sentences need no search
+_REFUSALS = [
+    (lits, re.compile(way))
+    for lits, way in (
+        (("can", "could", "won", "able"), r"\b(?:can(?:'|’)?t|cannot|could not|couldn(?:'|’)t|won(?:'|’)t be able to|unable to|not able to) (?:help|assist|answer|respond|provide|comment|discuss|give|say|tell|offer|share|do that|fulfil)"),
+        (("decline", "refuse"), r"\b(?:must|have to|need to) (?:decline|refuse)\b"),
+        (("decline",), r"\bdecline to (?:answer|comment|respond|help)"),
+        (("rather not",), r"\brather not (?:answer|comment|say|discuss)"),
+        (("have",), r"\b(?:don(?:'|’)t|do not) have (?:enough|any|sufficient|the) (?:information|data|context|details)"),
+        (("know", "have no"), r"\b(?:i )?(?:have no way of knowing|don(?:'|’)t know|do not know|have no (?:information|knowledge|idea))"),
+        (("beyond what i",), r"\bbeyond what i (?:can|may)\b"),
+        (("source", "document", "text", "passage"), r"\b(?:sources?|documents?|texts?|context|passages?)\b.{0,40}\b(?:silent|(?:do|does) ?n(?:o|')t (?:say|mention|contain|tell|state)|say nothing|says nothing)"),
+        (("nothing in",), r"\bnothing in (?:the|my)\b.{0,40}\b(?:answer|respond|tell)"),
+        (("possible for me",), r"\b(?:isn(?:'|’)t|not) possible for me\b"),
+        (("no evidence in",), r"\bno evidence in\b.{0,40}\bno answer\b"),
+        (("no answer can",), r"\bno answer can be given\b"),
+        (("nicht",), r"\b(?:kann|darf|möchte) (?:ich|dazu|dabei)\b.{0,40}\bnicht\b.{0,20}\b(?:beantworten|helfen|sagen|antworten)?"),
+        (("dabei", "liegen", "keine"), r"\bdabei darf ich nicht\b|\bliegen mir keine\b|\bkeine (?:angaben|informationen)\b"),
+        (("peux", "puis", "suis"), r"\b(?:ne|n')\s?(?:peux|puis|suis)\b.{0,40}\b(?:pas|répondre|aider)\b"),
+        (("disent rien",), r"\bn(?:'|’)en disent rien\b|\bne disent rien\b"),
+        (("no puedo", "no podemos", "no me es"), r"\bno (?:puedo|podemos|me es posible)\b.{0,40}\b(?:responder|ayudar|contestar|decir)"),
+        (("no dicen nada", "no tengo"), r"\bno dicen nada\b|\bno tengo (?:información|datos)\b"),
+        (("无法", "不能", "不便", "没办法", "帮不了", "没有相关"), r"(?:无法|不能|不便|没办法)(?:回答|作答|提供|帮)|帮不了|没有相关(?:内容|信息|资料)|不能作答"),
     )
-)
+]
 _FILLER = re.compile(
     r"^\W*(?:(?:i(?:'|’)?m |i am |so |very )?sorry\b|apolog|regrettabl|unfortunatel|hmm\b|thank|try (?:a|another)|i hope you|hope (?:this|you)|consult\b|please\b|is there (?:something|anything) else|feel free|let me know"
     r"|tut mir leid|es tut mir|leider\b|entschuldig|bitte\b|désolé|malheureusement|veuillez|lo siento|lamentablemente|por favor|disculp|抱歉|对不起|很遗憾|请)"
@@ -120,6 +120,10 @@ def is_empty(t: Text | None) -> bool:
     return t is None or (len(t.plain) < 40 or not t.words) and bool(_NOTHING.match(t.plain))
 
 
+def declines(sentence: str) -> bool:
+    return any(any(x in sentence for x in lits) and way.search(sentence) for lits, way in _REFUSALS)
+
+
 def is_refusal(t: Text) -> bool:
     """Every sentence declines, or is a polite filler, and at least one declines."""
     found = False
@@ -130,7 +134,7 @@ def is_refusal(t: Text) -> bool:
         words = _WORD.findall(s)
         if not words:
             continue
-        if _REFUSAL.search(s):
+        if declines(s):
             found = True
         elif len(words) > 12 or not _FILLER.match(s):
             return False
@@ -191,17 +195,19 @@ def unfinished(t: str) -> bool:
 
 def rule(raw: str | None, question: str | None, index: dict[str, frozenset[str]] = _INDEX) -> str | None:
     """The defect that the pair itself shows."""
-    t = None if raw is None else Text(raw, index)
+    return _rule(None if raw is None else Text(raw, index), Text(question, index) if question else None)
+
+
+def _rule(t: Text | None, q: Text | None) -> str | None:
     if is_empty(t):
         return "empty"
-    q = Text(question, index) if question else None
     if q and is_copy(t, q):
         return "copy"
     if is_refusal(t):
         return "refusal"
     if q and is_other_language(t, q):
         return "other_language"
-    return "truncated" if unfinished(raw) else None
+    return "truncated" if unfinished(t.raw) else None
 
 
 def language_words(texts: DataFrame, sure: float = 0.9, share: float = 0.001) -> dict[str, frozenset[str]]:
@@ -230,12 +236,16 @@ def language_words(texts: DataFrame, sure: float = 0.9, share: float = 0.001) ->
     return {**{r.word: frozenset([r.lang]) for r in rows if r.lang and r.most >= 5}, **_INDEX}
 
 
-_BLANKS, _LINES, _MARKS = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*"), re.compile(r" +([.,;:!?。！？])")
+_LINES = re.compile(r"\s*\n\s*")
 
 
-def comparable(t: str) -> str:
-    """A response as it is sorted: in lower case, without marks, citations, labels and repeated blanks."""
-    return _MARKS.sub(r"\1", _LINES.sub("\n", _BLANKS.sub(" ", _plain(t).lower()))).strip()
+def comparable(plain: str) -> str:
+    """A response without marks, citations and labels as it is sorted: in lower case, without repeated blanks."""
+    t = plain.lower()
+    t = "\n".join(" ".join(x.split()) for x in _LINES.split(t)) if "\n" in t else " ".join(t.split())
+    for mark in ".,;:!?。！？":
+        t = t.replace(" " + mark, mark)
+    return t
 
 
 _HASH = "xxhash64(text)"
@@ -250,9 +260,14 @@ def _judged(records: DataFrame, index) -> DataFrame:
         for b in batches:
             ids, fields, texts, questions = b.columns
             tx, qs = texts.to_pylist(), questions.to_pylist()
-            found = [rule(t, q, index.value) for t, q in zip(tx, qs)]
+            answers = [None if t is None else Text(t, index.value) for t in tx]
+            asked: dict[str, Text] = {}
+            for q in qs:
+                if q and q not in asked:
+                    asked[q] = Text(q, index.value)
+            found = [_rule(t, asked.get(q)) for t, q in zip(answers, qs)]
             is_open = [f == "truncated" or f is None and not _END.search(t.rstrip()) for f, t in zip(found, tx)]
-            plain = [comparable(t) if f in (None, "truncated") else None for f, t in zip(found, tx)]
+            plain = [comparable(t.plain) if f in (None, "truncated") else None for f, t in zip(found, answers)]
             yield pa.RecordBatch.from_arrays(
                 [ids, fields, pa.array(found, pa.string()), pa.array(is_open, pa.bool_()), pa.array([len(t or "") for t in tx], pa.int32()), pa.array(plain, pa.string())],
                 names=["record_id", "field", "defect", "open", "n", "text"],

@@ -135,7 +135,7 @@ def test_words_of_a_language_are_learned(spark):
 
 
 def test_comparable_texts():
-    assert pairs.comparable("**Answer:** The  map [Clue 3-5] .\n\n Next") == "the map.\nnext"
+    assert pairs.comparable(pairs._plain("**Answer:** The  map [Clue 3-5] .\n\n Next")) == "the map.\nnext"
 
 
 def test_evidence(spark):
