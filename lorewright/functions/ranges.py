@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = r"\d+(?:\s*-\s*\d+)?"
+#: ids that one range may stand for; what a model writes beyond it (1-9999999999) is no list of ids and stands for none
+WIDEST = 100_000
 
 
 def _bounds(tok: Column) -> tuple[Column, Column]:
@@ -24,7 +26,7 @@ def expand(s: Column) -> Column:
 
     def one(tok: Column) -> Column:
         a, b = _bounds(tok)
-        return F.sequence(F.least(a, b), F.greatest(a, b))
+        return F.when(F.abs(b - a) < WIDEST, F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens(s), one))))
 
@@ -34,11 +36,21 @@ def expand_strict(s: Column) -> Column:
 
     def one(tok: Column) -> Column:
         a, b = _bounds(tok)
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        return F.when((a <= b) & (b - a < WIDEST), F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens(s), one))))
 
 
+def too_wide(s: Column) -> Column:
+    """How many ranges of a list are wider than ids can be; expand leaves these out."""
+
+    def wide(tok: Column) -> Column:
+        a, b = _bounds(tok)
+        return ~F.coalesce(F.abs(b - a) < WIDEST, F.lit(False))
+
+    return F.size(F.filter(tokens(s), wide))
+
+
 def expanded_count(s: Column) -> Column:
     """How many ids a list stands for, without merging repeats or swapping bounds (a reversed range counts 0 or less)."""
 

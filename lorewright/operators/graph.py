@@ -66,41 +66,81 @@ def incidence(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def bounded_subgraph(edges: DataFrame, left: str, right: str, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, vertex, depth): vertices within ``depth`` steps of each seed, with their distance. seeds: (seed)."""
+    """(seed, vertex, depth): vertices within ``depth`` steps of each seed, with their distance. seeds: (seed). Each step
+    writes only what it reaches first."""
     spark = edges.sparkSession
     nb = incidence(edges.select(left, right).distinct(), left, right).select("vertex", "other").distinct()
-    at = write_stage(seeds.select("seed", F.col("seed").alias("vertex"), F.lit(0).alias("depth")).distinct(), "reached")
+    steps = [write_stage(seeds.where("seed is not null").select("seed", F.col("seed").alias("vertex"), F.lit(0).alias("depth")).distinct(), "reached")]
     for d in range(1, depth + 1):
-        seen = spark.read.parquet(at)
-        step = seen.where(F.col("depth") == d - 1).join(nb, "vertex").select("seed", F.col("other").alias("vertex"), F.lit(d).alias("depth")).distinct()
-        new = step.join(seen.select("seed", "vertex"), ["seed", "vertex"], "left_anti")
-        after = write_stage(seen.unionByName(new), "reached")
-        drop_stage(spark, at)
-        at = after
-    return spark.read.parquet(at)
+        front = spark.read.parquet(steps[-1]).join(nb, "vertex").select("seed", F.col("other").alias("vertex"), F.lit(d).alias("depth")).distinct()
+        # a vertex next to the front lies in it, in the step before, or is new
+        new = front.join(spark.read.parquet(*steps[-2:]).select("seed", "vertex"), ["seed", "vertex"], "left_anti")
+        steps.append(write_stage(new, "reached"))
+    return spark.read.parquet(*steps)
 
 
-def threshold_components(edges: DataFrame, left: str, right: str, max_rounds: int = 500) -> DataFrame:
-    """(vertex, component) of the graph of similar pairs; clustering by density where every point is a core point is the
-    same. Least labels travel along the edges and jump to the label of their label; each round is a table in the shared
-    folder, and the rounds end when nothing changes."""
+def _min_parents(e: DataFrame) -> DataFrame:
+    """(x, p): each vertex of the edges (a < b) with the least label among itself and its neighbours. Hubs pre-aggregate."""
+    up = e.select(F.col("b").alias("x"), F.col("a").alias("p"))
+    low = e.select(F.col("a").alias("x"), F.col("a").alias("p"))
+    return up.union(low).groupBy("x").agg(F.min("p").alias("p"))
+
+
+def _jump(m: DataFrame) -> DataFrame:
+    """Pointer jumping: p becomes p's parent."""
+    t = m.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+    return m.join(t, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
+
+
+def link_components(edges: DataFrame, left: str, right: str, max_rounds: int = 200) -> DataFrame:
+    """(vertex, component): every vertex that has a link to another one, with the least vertex of its component. Least labels
+    travel along the edges and jump to the label of their label; each round contracts the graph of the one before and is a
+    table in the shared folder, and the rounds end when no edge is left. The maps of all rounds, each a fraction of the one
+    before, are composed at the end. Null ids and self links link nothing; repeated or reversed links count once."""
     spark = edges.sparkSession
-    e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    both = materialize(e.union(e.select("b", "a")).distinct(), "links")
-    at = write_stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "vertex"), "labels")
+    read = spark.read.parquet
+    e = (
+        edges.select(F.col(left).alias("l"), F.col(right).alias("r"))
+        .where("l <> r")
+        .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
+        .distinct()
+    )
+    at, maps = write_stage(e, "edges"), []
     for _ in range(max_rounds):
-        now = spark.read.parquet(at)
-        near = both.join(now.select(F.col("vertex").alias("b"), "label"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
-        low = now.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = now.select(F.col("vertex").alias("label"), F.col("label").alias("to"))
-        after = write_stage(low.join(jump, "label", "left").select("vertex", "old", F.coalesce("to", "label").alias("label")), "labels")
-        n = spark.read.parquet(after)
-        changed = not n.where("old <> label").isEmpty()
+        e = read(at)
+        maps.append(write_stage(_jump(_min_parents(e)), "parents"))
+        m = read(maps[-1])
+        pa = m.select(F.col("x").alias("a"), F.col("p").alias("pa"))
+        pb = m.select(F.col("x").alias("b"), F.col("p").alias("pb"))
+        contracted = (
+            e.join(pa, "a")
+            .where("pa <> b")
+            .select("b", "pa")
+            .distinct()  # a hub's links to one vertex shrink before the second join
+            .join(pb, "b")
+            .where("pa <> pb")
+            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+            .distinct()
+        )
+        after = write_stage(contracted, "edges")
         drop_stage(spark, at)
         at = after
-        if not changed:
-            return spark.read.parquet(at).select("vertex", F.col("label").alias("component"))
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        if read(at).isEmpty():
+            drop_stage(spark, at)
+            break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    label = read(maps[-1])
+    for path in reversed(maps[:-1]):
+        later = label.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+        label = read(path).join(later, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
+    return label.select(F.col("x").alias("vertex"), F.col("p").alias("component"))
+
+
+def threshold_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(vertex, component) of the graph of similar pairs; clustering by density where every point is a core point is the
+    same."""
+    return link_components(edges, left, right)
 
 
 def filter_relationships(rel: DataFrame, entities: DataFrame, chunk: str, left_name: str, right_name: str, name: str = "entity_name", key: str = "entity_id") -> DataFrame:
@@ -136,8 +176,12 @@ def resolve_groups(groups: DataFrame, resolver, size: int = 10, max_merges: int
     for turn in range(max_merges + idle):
         now = spark.read.parquet(at)
         live = now.where(active & (F.col("canonical") == F.col("member")))
-        w = Window.partitionBy("group").orderBy(F.md5(F.concat(F.lit(f"{turn}:"), F.col("member").cast("string"))))
-        lots = live.withColumn("lot", ((F.row_number().over(w) - 1) / size).cast("int")).select("group", "lot", "member", "text")
+        # a group is dealt by hash to shares of about a hundred lots, so that no window holds a whole group
+        shares = live.groupBy("group").agg(F.ceil(F.count("*") / F.lit(100 * size)).alias("shares"))
+        turned = F.md5(F.concat(F.lit(f"{turn}:"), F.col("member").cast("string")))
+        w = Window.partitionBy("group", "share").orderBy("turned", "member")
+        dealt = live.join(shares, "group").withColumn("turned", turned).withColumn("share", F.pmod(F.xxhash64("turned"), F.col("shares")))
+        lots = dealt.withColumn("lot", F.concat_ws("-", "share", F.floor((F.row_number().over(w) - 1) / size))).select("group", "lot", "member", "text")
         lots = materialize(lots, "lots")
         if lots.isEmpty():
             break

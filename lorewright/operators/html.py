@@ -151,11 +151,12 @@ def main_content(html: str, site: str | None) -> str:
 
 
 def pages_to_markdown(df: DataFrame, key: str, html: str, site: str, path: str | None = None) -> DataFrame:
-    """(key, text): pages without a main part give no row; script mirrors (``js.html?``) are left out."""
+    """(key, text): pages without a main part give no row; script mirrors (paths that end in ``js.html`` or
+    ``js.htm``) are left out."""
     kind = df.schema[key].dataType.simpleString()
     d = df.where(F.col(html).isNotNull())
     if path:
-        d = d.where(~F.coalesce(F.col(path).contains("js.html?"), F.lit(False)))
+        d = d.where(~F.coalesce(F.col(path).rlike(r"js\.html?$"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

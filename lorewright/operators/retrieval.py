@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright.storage import materialize
+
 
 def usable_vectors(df: DataFrame, vector: str, dim: int) -> Column:
     """Whether a vector has the right length, no missing or infinite value, and is not all zero."""
@@ -22,53 +24,65 @@ def _matrix(col: pa.Array, dim: int, unit: bool) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if unit else x
 
 
-def top_k(queries: DataFrame, docs: DataFrame, key: str, vector: str, dim: int, k: int = 20, scale: float = 100.0, cosine: bool = False, others: bool = True, per_pass: int = 8192) -> DataFrame:
+def _keep_best(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score, then smaller id) of each query."""
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], d[keep], s[keep]
+
+
+def top_k(queries: DataFrame, docs: DataFrame, key: str, vector: str, dim: int, k: int = 20, scale: float = 100.0, cosine: bool = False, others: bool = True, block: int = 8192) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query by inner product (times ``scale``) or cosine.
 
-    Queries are compared with all documents in blocks: at most ``per_pass`` of them are broadcast at a time, every batch of
-    documents keeps its k best per query, and these few are merged by a ranking per query. Ties go to the smaller id.
-    others: a query never finds the document with its own id. Vectors must be usable."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("bigint").alias("d"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["d"])
-    held: list = []
-    out: DataFrame | None = None
-
-    def search(part: list) -> DataFrame:
-        ids = np.array([r.d for r in part], np.int64)
-        x = np.array([r.v for r in part], np.float64).reshape(-1, dim)
-        box = spark.sparkContext.broadcast((ids, x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if cosine else x))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, x = box.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
+    Queries are dealt to blocks of about ``block``; a task holds one block and its best documents so far and reads all
+    documents as a stream, so neither queries nor documents pass the driver. Ties go to the smaller id. others: a query never
+    finds the document with its own id. Vectors must be usable."""
+    row = lambda d: d.select(F.col(key).cast("bigint").alias("d"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["d"])
+    q = materialize(row(queries), "queries")
+    parts = max(1, -(-q.count() // block))
+    seen = q.select(F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "d", "v").unionByName(
+        row(docs).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "d", "v")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ids, x = None, np.zeros(0, np.int64), np.zeros((0, dim))
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best, floor = none, np.zeros(0)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "score"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, kind, own, y = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dim, cosine)
+            edges = np.flatnonzero((np.diff(p) != 0) | (np.diff(kind) != 0)) + 1
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(p)]):
+                if p[s] != part:
+                    yield from out()
+                    part, ids, x, best = p[s], np.zeros(0, np.int64), np.zeros((0, dim)), none
+                if kind[s] == 0:
+                    ids, x = np.concatenate([ids, own[s:e]]), np.concatenate([x, y[s:e]])
+                    floor = np.full(len(ids), -np.inf)  # the score of each query's k-th best
                     continue
-                own = b.column(0).to_numpy()
-                y = _matrix(b.column(1), dim, cosine)
-                for i in range(0, len(x), 1024):
-                    m = (x[i : i + 1024] @ y.T) * scale
+                got = [best]
+                for i in range(0, len(ids), 1024):
+                    m = (x[i : i + 1024] @ y[s:e].T) * scale
                     if others:
-                        m[ids[i : i + 1024, None] == own[None, :]] = -np.inf
-                    kk = min(k, len(own))
-                    # a few more than k, so that ties at the edge are told by id
-                    col = np.argpartition(-m, kk - 1, axis=1)[:, :kk]
-                    edge = np.take_along_axis(m, col, 1).min(axis=1, keepdims=True)
-                    q, c = np.nonzero(m >= edge)
-                    ok = np.isfinite(m[q, c])
-                    q, c = q[ok], c[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + q]), pa.array(own[c]), pa.array(m[q, c])], names=["query_id", "doc_id", "score"])
-
-        return rows.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
-
-    for r in queries.select(F.col(key).cast("bigint").alias("d"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["d"]).toLocalIterator():
-        held.append(r)
-        if len(held) == per_pass:
-            out = search(held) if out is None else out.union(search(held))
-            held = []
-    if held or out is None:
-        out = search(held) if out is None else out.union(search(held))
+                        m[ids[i : i + 1024, None] == own[None, s:e]] = -np.inf
+                    r, c = np.nonzero((m >= floor[i : i + 1024, None]) & np.isfinite(m))
+                    got.append(_keep_best(r + i, own[s:e][c], m[r, c], k))
+                best = _keep_best(*(np.concatenate(z) for z in zip(*got)), k)
+                count = np.bincount(best[0], minlength=len(ids))
+                full = count == k
+                floor[full] = best[2][np.cumsum(count)[full] - 1]
+        yield from out()
+
+    found = seen.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 # metrics on ranked lists held in arrays

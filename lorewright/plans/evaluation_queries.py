@@ -231,13 +231,13 @@ z AS (SELECT user_id, p, q, list_transform(p, lambda x: x / list_sum(p)) AS pn,
 
 
 def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, p, q): event counts plus one by type of each user, and of all. The types are few and come from the data."""
+    """(user_id, p, q): event counts plus one by type of each user, and of all, in the order of the types."""
     e = table(spark, sf_dir, "events")
-    types = sorted(r[0] for r in e.select("event_type").distinct().collect())
-    p = e.groupBy("user_id").agg(*[(F.count_if(F.col("event_type") == t) + 1.0).alias(f"t{i}") for i, t in enumerate(types)])
-    q = e.agg(*[F.count_if(F.col("event_type") == t).cast("double").alias(f"t{i}") for i, t in enumerate(types)]).first()
-    cols = [f"t{i}" for i in range(len(types))]
-    return p.select("user_id", F.array(*cols).alias("p"), F.array(*[F.lit(q[c]) for c in cols]).alias("q"))
+    n = e.groupBy("user_id", "event_type").count()
+    own = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("own"))  # as many as types
+    all_ = n.groupBy("event_type").agg(F.sum("count").alias("n")).agg(F.array_sort(F.collect_list(F.struct("event_type", F.col("n").cast("double").alias("n")))).alias("all"))
+    d = own.crossJoin(all_)  # one row
+    return d.select("user_id", F.transform("all", lambda t: F.coalesce(F.try_element_at("own", t["event_type"]), F.lit(0)) + F.lit(1.0)).alias("p"), F.transform("all", lambda t: t["n"]).alias("q"))
 
 
 @query(

@@ -37,8 +37,7 @@ def prepare_corpus(documents: DataFrame, spec: list[tiers.Rule], tier: int, cfg:
     kept = d.join(chosen.select("doc_id"), "doc_id", "left_semi").withColumn("file_path", F.concat_ws("/", "source", "rel_path"))
     c = chunks.token_chunks(kept.select("doc_id", "source", "file_path", "text"), "text", "file_path", cfg.chunk_size, cfg.chunk_overlap)
     c = c.withColumnRenamed("chunk", "origin_context")
-    a = annotate.annotated(c, "chunk_id", "origin_context")
-    return c.join(a, "chunk_id")
+    return c.withColumn("context", annotate.annotate(F.col("origin_context")))
 
 
 def stage(df: DataFrame, key: str, prompt: Column, parsed: Callable[[Column], Column], out: str, make=providers.Stub) -> DataFrame:

@@ -117,3 +117,9 @@ def test_cosine_is_bounded(spark):
 @pytest.mark.parametrize(("a", "b", "n"), [("abc", "abd", 1), ("abc", "ab", 1), ("", "xy", 2), ("abcd", "bcda", 4)])
 def test_positional_difference(spark, a, b, n):
     assert value(spark, distributions.positional_difference(F.col("a"), F.col("b")), a=s(a), b=s(b)) == n
+
+
+def test_ranges_too_wide_are_left_out(spark):
+    assert value(spark, ranges.expand(F.col("t")), t=s("2-3, 1-9999999999, 7")) == [2, 3, 7]
+    assert value(spark, ranges.expand_strict(F.col("t")), t=s("1-9999999999,4")) == [4]
+    assert value(spark, ranges.too_wide(F.col("t")), t=s("2-3, 1-9999999999, 99999999999999999999999, 7")) == 2

@@ -9,12 +9,20 @@ from lorewright.sources import files
 
 
 def test_annotation_goldens(spark):
-    assert annotate.annotate("Hi there. Bye") == "Hi there [Sen 1]. Bye [Sen 2]"
-    t = "One. Two!\n| a b. | c \\| d |  |\n![x](y.png)tail"
-    assert annotate.annotate(t) == "One [Sen 1]. Two [Sen 2]!\n\n| a b [Sen 3]. | c \\| d [Sen 4] |\n![x](y.png) [Sen 5]\ntail [Sen 6]"
-    df = spark.createDataFrame([(1, "Hi there. Bye\n\nlast?"), (2, None)], "k int, t string")
-    assert [r.c for r in df.select(annotate.annotate_plain(F.col("t")).alias("c")).collect()] == [annotate.annotate("Hi there. Bye\n\nlast?"), None]
-    assert {tuple(r) for r in annotate.annotated(df, "k", "t").collect()} == {(1, annotate.annotate("Hi there. Bye\n\nlast?")), (2, None)}
+    cases = {
+        "Hi there. Bye": "Hi there [Sen 1]. Bye [Sen 2]",
+        "Hi there. Bye\n\nlast?": "Hi there [Sen 1]. Bye [Sen 2]\n\nlast [Sen 3]?",
+        "One. Two!\n| a b. | c \\| d |  |\n![x](y.png)tail": "One [Sen 1]. Two [Sen 2]!\n\n| a b [Sen 3]. | c \\| d [Sen 4] |\n![x](y.png) [Sen 5]\ntail [Sen 6]",
+        "| a | b |\n|---|---|\n| x. y | z |\nEnd.": "| a [Sen 1] | b [Sen 2] |\n| --- [Sen 3] | --- [Sen 4] |\n| x [Sen 5]. y [Sen 6] | z [Sen 7] |\nEnd [Sen 8].",
+        "![a](b)![c](d)": "![a](b) [Sen 1]\n![c](d) [Sen 2]",
+        "": "",
+        "\n": "\n",
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    assert {r.k: r.context for r in annotate.annotated(df, "k", "t").collect()} == dict(enumerate(cases.values()))
+    plain = [t for t in cases if t is None or "|" not in t and "!" not in t]
+    assert [r.c for r in spark.createDataFrame([(t,) for t in plain], "t string").select(annotate.annotate_plain(F.col("t")).alias("c")).collect()] == [cases[t] for t in plain]
 
 
 def test_sentence_spans(spark):
@@ -58,9 +66,20 @@ def test_rank_metrics(spark):
 def test_top_k_ties_and_passes(spark):
     rows = [(i, [1.0, float(i % 2)]) for i in range(8)]
     df = spark.createDataFrame(rows, "k bigint, v array<double>")
-    got = {(r.query_id, r.rank): r.doc_id for r in retrieval.top_k(df.where("k < 3"), df, "k", "v", 2, k=3, per_pass=2).collect()}
+    got = {(r.query_id, r.rank): r.doc_id for r in retrieval.top_k(df.where("k < 3"), df, "k", "v", 2, k=3, block=2).collect()}
     assert [got[0, i] for i in (1, 2, 3)] == [1, 2, 3] and [got[1, i] for i in (1, 2, 3)] == [3, 5, 7]
     assert retrieval.top_k(df.limit(0), df, "k", "v", 2).collect() == []
+    assert retrieval.top_k(df, df.limit(0), "k", "v", 2).collect() == []
+
+
+def test_top_k_against_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-3, 4, (90, 4)).astype(float) + 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] * 2, "k bigint, v array<double>")
+    m = x @ x.T
+    want = {(i, r + 1): j for i in range(90) for r, j in enumerate([j for j in np.lexsort((np.arange(90), -m[i])) if j != i][:5])}
+    assert {(r.query_id, r.rank): r.doc_id for r in retrieval.top_k(df, df, "k", "v", 4, k=5, scale=1.0, block=17).collect()} == want
 
 
 def test_hard_negatives_need_enough(spark):
@@ -211,3 +230,40 @@ def test_word_hashes():
         assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
     assert (wordhash.word_hashes(texts, part=3)[1] == h).all()
+
+
+def test_script_mirrors_are_left_out(spark):
+    rows = [(1, "a/page.html"), (2, "a/page.js.html"), (3, "b/x.js.htm"), (4, "b/js.html?y"), (5, None), (6, "c/js.html/z")]
+    df = spark.createDataFrame([(k, "<p>text</p>", "none", p) for k, p in rows], "k int, html string, site string, path string")
+    assert {r.k for r in html.pages_to_markdown(df, "k", "html", "site", "path").collect()} == {1, 4, 5, 6}
+
+
+def test_lots_of_a_hot_group_are_of_bounded_size(spark):
+    g = spark.createDataFrame([("hot", i, str(i)) for i in range(3000)] + [("cold", 5000 + i, "same") for i in range(3)], "group string, member bigint, text string")
+    sizes = []
+
+    def resolver(lots):
+        sizes.extend(r["count"] for r in lots.groupBy("group", "lot").count().collect())
+        return lots.where("group = 'cold' and member > 5000").select("member", F.lit(5000).cast("bigint").alias("into"))
+
+    got = {r.member: r.canonical for r in graph.resolve_groups(g, resolver, max_merges=1, idle=1).collect()}
+    assert max(sizes) <= 10 and len(sizes) < 400
+    assert {k for k, v in got.items() if k != v} == {5001, 5002}
+
+
+def test_long_documents_are_cut_to_chunks_that_meet(spark):
+    t = " ".join(f"word{i}," for i in range(6000))
+    got = chunks.token_chunks(spark.createDataFrame([(t, "p")], "text string, path string"), "text", "path", size=500, overlap=50).orderBy("chunk_no").collect()
+    assert [r.start_char_pos for r in got][0] == 0 and all(t[r.start_char_pos : r.end_char_pos] == r.chunk for r in got)
+    assert len(got) == -(-12000 // 450) and all(b.start_char_pos < a.end_char_pos for a, b in zip(got, got[1:]))
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from lorewright import storage
+
+    on = lambda master, path: N(conf=N(get=lambda k, d: path), sparkContext=N(master=master))
+    assert storage.shared_dir(on("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(on("local-cluster[2,1,1024]", None))
