@@ -2,7 +2,8 @@
 
 Minimum labels are propagated along the edges and accelerated by pointer jumping; every round works on the graph that the
 round before has contracted, is written to the shared folder, and the loop ends when no label changes. A round touches only
-the vertices that still have edges; the maps of all rounds, each a fraction of the one before, are composed at the end.
+the vertices that still have edges; the maps of all rounds, each a fraction of the one before, are composed at the end
+(``lorewright.operators.graph.link_components``).
 
 Defined results: null ids and self links link nothing; repeated or reversed pairs count once; a vertex without links is a
 group of its own; no vertices give no rows. Extra columns are ignored.
@@ -13,62 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.storage import drop_stage, write_stage
-
-
-def _min_parents(e: DataFrame) -> DataFrame:
-    """(x, p): each vertex of the edges (a < b) with the least label among itself and its neighbours. Hubs pre-aggregate."""
-    up = e.select(F.col("b").alias("x"), F.col("a").alias("p"))
-    low = e.select(F.col("a").alias("x"), F.col("a").alias("p"))
-    return up.union(low).groupBy("x").agg(F.min("p").alias("p"))
-
-
-def _jump(m: DataFrame) -> DataFrame:
-    """Pointer jumping: p becomes p's parent."""
-    t = m.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-    return m.join(t, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-
-
-def link_components(edges: DataFrame, left: str, right: str, max_rounds: int = 200) -> DataFrame:
-    """(vertex, component): every vertex that has a link to another one, with the least vertex of its component."""
-    spark = edges.sparkSession
-    read = spark.read.parquet
-    e = (
-        edges.select(F.col(left).alias("l"), F.col(right).alias("r"))
-        .where("l <> r")
-        .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
-        .distinct()
-    )
-    at, maps = write_stage(e, "edges"), []
-    for _ in range(max_rounds):
-        e = read(at)
-        maps.append(write_stage(_jump(_min_parents(e)), "parents"))
-        m = read(maps[-1])
-        pa = m.select(F.col("x").alias("a"), F.col("p").alias("pa"))
-        pb = m.select(F.col("x").alias("b"), F.col("p").alias("pb"))
-        contracted = (
-            e.join(pa, "a")
-            .where("pa <> b")
-            .select("b", "pa")
-            .distinct()  # a hub's links to one vertex shrink before the second join
-            .join(pb, "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct()
-        )
-        after = write_stage(contracted, "edges")
-        drop_stage(spark, at)
-        at = after
-        if read(at).isEmpty():
-            drop_stage(spark, at)
-            break
-    else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    label = read(maps[-1])
-    for path in reversed(maps[:-1]):
-        later = label.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        label = read(path).join(later, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-    return label.select(F.col("x").alias("vertex"), F.col("p").alias("component"))
+from lorewright.operators.graph import link_components
 
 
 def same_links(matches: DataFrame, entities: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.functions import wordhash as wh
+from lorewright.llm import wordhash as wh
 from lorewright.storage import materialize
 
 _U = np.uint64

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lorewright.functions import wordhash as wh
+from lorewright.llm import wordhash as wh
 from lorewright.llm import components, splitting
 
 
