@@ -6,6 +6,7 @@ from lorewright.plans import (  # noqa: F401  (importing registers the queries)
     dataset_queries,
     evaluation_queries,
     graph_queries,
+    stage_queries,
     text_queries,
 )
 from lorewright.plans.registry import QUERIES, SQL

@@ -7,7 +7,11 @@ Arrow batches. ``Stub`` answers deterministically, so pipelines run and are test
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +31,11 @@ class Stub:
 
 
 class Retrying:
-    """Calls again what failed or came back null, up to ``attempts`` times; what still fails is null."""
+    """Calls again what failed, came back null or isn't ``valid`` (prompt, output), up to ``attempts`` times; what still fails
+    is null. An error whose text matches ``skip`` (a refused content, a prompt too long) is not tried again."""
 
-    def __init__(self, provider: Provider, attempts: int = 2):
-        self.provider, self.attempts = provider, attempts
+    def __init__(self, provider: Provider, attempts: int = 2, valid: Callable[[str, str], bool] | None = None, skip: str | None = None):
+        self.provider, self.attempts, self.valid, self.skip = provider, attempts, valid, skip
 
     def __call__(self, prompts: list[str]) -> list[str | None]:
         out: list[str | None] = [None] * len(prompts)
@@ -38,15 +43,49 @@ class Retrying:
         for _ in range(self.attempts):
             if not todo:
                 break
+            left = []
             try:
-                got = self.provider([prompts[i] for i in todo])
-            except Exception:
-                got = [None] * len(todo)
+                got = self._ask([prompts[i] for i in todo])
+            except Exception:  # one prompt may spoil a batch: each is asked alone
+                got = [self._alone(prompts[i]) for i in todo]
             for i, g in zip(todo, got):
-                out[i] = g
-            todo = [i for i in todo if out[i] is None]
+                if g is _SKIP:
+                    continue
+                out[i] = g if g is not None and (self.valid is None or self.valid(prompts[i], g)) else None
+                if out[i] is None:
+                    left.append(i)
+            todo = left
         return out
 
+    def _ask(self, prompts: list[str]) -> list[str | None]:
+        return list(self.provider(prompts))
+
+    def _alone(self, prompt: str):
+        try:
+            return self._ask([prompt])[0]
+        except Exception as e:
+            return _SKIP if self.skip and re.search(self.skip, str(e)) else None
+
+
+_SKIP = object()
+
+
+class Http:
+    """A chat endpoint that takes {model, messages} and answers {choices: [{message: {content}}]}; ``threads`` calls at a time."""
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 600, threads: int = 8, **settings):
+        self.url, self.model, self.key, self.timeout, self.threads, self.settings = url, model, key, timeout, threads, settings
+
+    def _one(self, prompt: str) -> str | None:
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.settings}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as r:
+            return json.load(r)["choices"][0]["message"]["content"]
+
+    def __call__(self, prompts: list[str]) -> list[str | None]:
+        with ThreadPoolExecutor(self.threads) as pool:
+            return list(pool.map(self._one, prompts))
+
 
 def embed_stub(dim: int = 16) -> Callable[[list[str]], list[list[float]]]:
     """Unit vectors from a digest of the text."""

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 BLANK = r"[ \t\n\r\f\x0B]"
 #: default tokens: blanks cling to what follows, so that the tokens of a text are a partition of it
@@ -58,13 +64,46 @@ def tokens(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
 
-def token_count(t: Column) -> Column:
-    return F.size(tokens(t))
+def bpe_tokens(ranks: str, pattern: str) -> Callable[[Column], Column]:
+    """A tokenizer by the byte-pair ranks of a file (a token in base64 and its rank a line) that every executor can read.
+    Texts are cut where their tokens begin; a token that ends inside a character goes with the next one."""
+
+    @pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        enc = _encoding(ranks, pattern)
+        return s.map(lambda x: None if x is None else _pieces(enc, x))
+
+    return cut
+
+
+@lru_cache(2)
+def _encoding(ranks: str, pattern: str):
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
 
+def _pieces(enc, t: str) -> list[str]:
+    out, held = [], b""
+    for b in enc.decode_tokens_bytes(enc.encode_ordinary(t)):
+        held += b
+        try:
+            out.append(held.decode())
+            held = b""
+        except UnicodeDecodeError:
+            continue
+    return out
 
-def truncate(t: Column, n: int) -> Column:
+
+def token_count(t: Column, tokenize: Callable[[Column], Column] = tokens) -> Column:
+    return F.size(tokenize(t))
+
+
+def truncate(t: Column, n: int, tokenize: Callable[[Column], Column] = tokens) -> Column:
     """The first n tokens."""
-    return F.array_join(F.slice(tokens(t), 1, n), "")
+    return F.array_join(F.slice(tokenize(t), 1, n), "")
 
 
 def strip_think(t: Column) -> Column:
@@ -80,6 +119,17 @@ def documents_block(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("[Doc "), i.cast("string"), F.lit("] "), x)), "\n")
 
 
+def sentences_block(sentences: Column) -> Column:
+    """``[Sen n] text`` lines of (number, text)."""
+    return F.array_join(F.transform(sentences, lambda x: F.concat(F.lit("[Sen "), x["sen_id"].cast("string"), F.lit("] "), x["text"])), "\n")
+
+
+def rules_block(rules: Column) -> Column:
+    """``Rule n: text`` lines, counted from 1; blank rules are left out."""
+    kept = F.filter(rules, lambda r: F.coalesce(trimmed(r), F.lit("")) != "")
+    return F.array_join(F.transform(kept, lambda r, i: F.concat(F.lit("Rule "), (i + 1).cast("string"), F.lit(": "), trimmed(r))), "\n")
+
+
 def fill(template: Column, **values: Column) -> Column:
     """Literal substitution of ``[[NAME]]``."""
     for k, v in values.items():

@@ -100,3 +100,37 @@ def long_answers(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.select(*keys, F.lit(None).cast("string").alias("model"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("answer")).limit(0)
     items = F.array(*[F.struct(F.lit(c.split("-top_k_value-")[0]).alias("model"), F.lit(int(c.split("-top_k_value-")[1].removesuffix("-answer"))).alias("k"), F.col(f"`{c}`").alias("answer")) for c in cols])
     return df.select(*keys, F.inline(items)).where("answer is not null")
+
+
+def preference_driver(df: DataFrame, ks: list[int], positions: dict[str, list[int]]) -> DataFrame:
+    """preference_rows over all k and the chosen steps of each kind of variant, one row set per k. df: (record_id, flavour,
+    variant, step, standard, prompts map<int, string>, generated map<int, string>, found map<int, boolean>); original questions
+    (variant null) always take part, of the variants those whose step is listed for their kind."""
+    chosen = F.col("variant").isNull()
+    for kind, steps in positions.items():
+        chosen = chosen | (F.col("variant") == kind) & F.col("step").isin(steps)
+    d = df.where(F.coalesce(chosen, F.lit(False)))
+    at = lambda c, k: F.try_element_at(c, F.lit(k)).alias({"prompts": "prompt"}.get(c, c))
+    out = None
+    for k in ks:
+        one = preference_rows(d.select("record_id", "flavour", "variant", "standard", at("prompts", k), at("generated", k), at("found", k)), k)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def relevance_tasks(answers: DataFrame, keys: list[str], scored: DataFrame) -> DataFrame:
+    """(keys, name, answer) still to be scored: one row per column whose name holds "answer" but neither "score" nor "reason", of
+    the rows that have one, without what ``scored`` (keys, name) has."""
+    cols = [c for c in answers.columns if "answer" in c and "score" not in c and "reason" not in c and c not in keys]
+    items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("answer")) for c in cols]) if cols else F.array().cast("array<struct<name: string, answer: string>>")
+    long = answers.select(*keys, F.inline(items)).where("answer is not null")
+    return long.join(scored.select(*keys, "name").distinct(), [*keys, "name"], "left_anti")
+
+
+def reordered_back(variants: DataFrame, outputs: DataFrame, question: str = "question_id", step: str = "step") -> DataFrame:
+    """variants with reordered_question and same_meaning from the parsed outputs (question, array of (step, reordered_question,
+    same_meaning)), joined by their ordinal; of an ordinal told twice the last one counts, variants without one keep null."""
+    told = outputs.select(question, F.posexplode("items").alias("_at", "_x")).select(question, F.col("_x.step").cast("int").alias(step), "_at", F.struct("_x.reordered_question", "_x.same_meaning").alias("_x"))
+    last = told.groupBy(question, step).agg(F.max_by("_x", "_at").alias("_x"))
+    rest = [c for c in variants.columns if c not in ("reordered_question", "same_meaning")]
+    return variants.select(*rest).join(last, [question, step], "left").select(*rest, "_x.reordered_question", "_x.same_meaning")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,42 @@ def rewrite_ids(edges: DataFrame, canonical: DataFrame, left: str, right: str) -
 
 
 def merge_entities(entities: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row per canonical entity: names, the first description that says something, and how many chunks it stands in."""
+    """One row per canonical entity: names, the first description that says something, and the chunks it stands in."""
     e = entities.join(canonical, "entity_id", "left").withColumn("id", F.coalesce("canonical_id", "entity_id"))
     said = F.when(F.trim("entity_description") != "", F.struct("entity_id", "entity_description"))
-    return e.groupBy("id").agg(F.min("entity_name").alias("entity_name"), F.min(said)["entity_description"].alias("entity_description"), F.count_distinct("chunk_key").alias("chunks"))
+    return e.groupBy("id").agg(F.min("entity_name").alias("entity_name"), F.min(said)["entity_description"].alias("entity_description"), F.count_distinct("chunk_key").alias("chunks"), F.array_sort(F.collect_set("chunk_key")).alias("chunk_keys"))
+
+
+def similar_entities(vectors: DataFrame, key: str, vector: str, group: Column, least: float) -> DataFrame:
+    """(left_id, right_id, score): pairs of vectors of one group with a cosine of at least ``least``, smaller id first. Vectors
+    must be usable. A group is dealt to blocks of about 2,000, and each pair of blocks meets in a task of its own, so a hot
+    group is no matter; the pairs within the bound come out, not all of a group."""
+    d = materialize(vectors.select(group.alias("g"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("g is not null and id is not null").dropDuplicates(["g", "id"]), "similar")
+    n = d.groupBy("g").agg(F.ceil(F.count("*") / 2000).cast("int").alias("n"))
+    own = d.join(n, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    cell = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cell = cell.select("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "v")
+
+    def meet(t: pa.Table) -> pa.Table:
+        i, j, b, ids = (t[c].to_numpy() for c in ("i", "j", "b", "id"))
+        x = np.array(t["v"].to_pylist(), np.float64)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out = []
+        for s in range(0, len(x), 1024):
+            m = np.clip(x[s : s + 1024] @ x.T, -1, 1)
+            r, c = np.nonzero(m >= least)
+            ok = (ids[s + r] < ids[c]) & ((i[0] == j[0]) | (b[s + r] != b[c]))
+            out.append((ids[s + r[ok]], ids[c[ok]], m[r[ok], c[ok]]))
+        return pa.table(dict(zip(("left_id", "right_id", "score"), (np.concatenate(z) for z in zip(*out)))))
+
+    return cell.groupBy("g", "i", "j").applyInArrow(meet, "left_id bigint, right_id bigint, score double").distinct()
+
+
+def id_check(asked: DataFrame, answered: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, missing, extra): how many ids of each group an answer lacks, and how many it has that weren't asked."""
+    a, b = (d.select(group, member).distinct().withColumn(n, F.lit(1)) for d, n in ((asked, "_asked"), (answered, "_told")))
+    j = a.join(b, [group, member], "full_outer")
+    return j.groupBy(group).agg(F.count_if(F.col("_told").isNull()).alias("missing"), F.count_if(F.col("_asked").isNull()).alias("extra"))
 
 
 def incidence(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -162,12 +196,29 @@ def select_relationships(inc: DataFrame, vertex: str, chunk: str, order: str, ra
     return kept.join(enough, vertex)
 
 
-def resolve_groups(groups: DataFrame, resolver, size: int = 10, max_merges: int = 5, idle: int = 2) -> DataFrame:
+def _valid_answers(lots: DataFrame, resolver, attempts: int) -> DataFrame:
+    """(member, into) of the lots whose answer names members of the lot only; the others are asked again."""
+    out, open_ = None, lots
+    for _ in range(attempts):
+        said = materialize(resolver(open_).select("member", "into"), "said")
+        at = open_.select("group", "lot", "member")
+        told = said.join(at, "member", "left").join(at.select(F.col("group").alias("g2"), F.col("lot").alias("l2"), F.col("member").alias("into")), "into", "left")
+        bad = told.where("group is not null and not coalesce(group = g2 and lot = l2, false)").select("group", "lot").distinct()
+        bad = materialize(bad, "invalid")
+        good = said.join(at, "member").join(bad, ["group", "lot"], "left_anti").select("member", "into")
+        out = good if out is None else out.unionByName(good)
+        if bad.isEmpty():
+            break
+        open_ = open_.join(bad, ["group", "lot"], "left_semi")
+    return out
+
+
+def resolve_groups(groups: DataFrame, resolver, size: int = 10, max_merges: int = 5, idle: int = 2, attempts: int = 3) -> DataFrame:
     """Merge the members of each group with a resolver until it finds nothing more. groups: (group, member, text).
 
     Each round deals the live members of a group to lots of ``size`` in an order that changes with the round; ``resolver``
-    takes a frame (group, lot, member, text) and returns (member, into); an answer that names a member of another lot is
-    dropped and its member stays. A group leaves after ``max_merges`` rounds that merged in it or ``idle`` that didn't,
+    takes a frame (group, lot, member, text) and returns (member, into). A lot whose answer names a member that isn't in it, or
+    one as part of itself, is asked again, ``attempts`` times in all; what is still invalid then stays as it was. A group leaves after ``max_merges`` rounds that merged in it or ``idle`` that didn't,
     whatever the other groups do; ends when no group is left. Returns (member, canonical)."""
     spark = groups.sparkSession
     none = F.lit(0)
@@ -185,7 +236,7 @@ def resolve_groups(groups: DataFrame, resolver, size: int = 10, max_merges: int
         lots = materialize(lots, "lots")
         if lots.isEmpty():
             break
-        said = resolver(lots).select("member", "into")
+        said = _valid_answers(lots, resolver, attempts)
         ok = said.join(lots.select("member", "group", "lot"), "member").join(lots.select(F.col("member").alias("into"), F.col("group").alias("g2"), F.col("lot").alias("l2")), "into")
         ok = ok.where("group = g2 and lot = l2 and into < member").groupBy("group", "member").agg(F.min("into").alias("into"))
         ok = materialize(ok, "merged")

@@ -120,13 +120,13 @@ def parse_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH c AS (SELECT DISTINCT chunk_key, context FROM corpus WHERE context IS NOT NULL), n AS (SELECT chunk_key, len(regexp_extract_all(context, '\[Sen \d+\]')) AS n FROM c)
-SELECT chunk_key, 'a fact of ' || chunk_key AS fact, CASE WHEN n >= 4 THEN '1-3,' || n WHEN n = 3 THEN '1-3' ELSE '1-3' END AS sens FROM n WHERE n > 4"""
+SELECT chunk_key, 'a fact of ' || chunk_key AS fact, CASE WHEN n = 4 THEN '1-4' WHEN n > 4 THEN '1-3,' || n WHEN n = 0 THEN '0-3' ELSE '1-3' END AS sens FROM n"""
 )
 def parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "corpus").where("context is not null").select("chunk_key", "context").distinct()
     n = F.size(annotate.marker_ids(F.col("context")))
     out = F.concat(F.lit("<detailed-desc> a fact of "), F.col("chunk_key").cast("string"), F.lit("</detailed-desc>\n<sentences-used>[Sen 3, Sen 1, Sen 2, Sen "), n.cast("string"), F.lit("]</sentences-used>"))
-    return c.where(n > 4).select("chunk_key", F.inline(parse.facts(out)))
+    return c.select("chunk_key", F.inline(parse.facts(out)))
 
 
 @query("WITH p AS (SELECT DISTINCT question_id, answer FROM proposed_questions WHERE answer IS NOT NULL) SELECT question_id, answer AS text FROM p")
@@ -329,14 +329,33 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.embed(e, "entity_name", "vector").select("entity_name", F.size("vector").alias("dim"), F.round(F.get("vector", 0).cast("double"), 5).alias("first"))
 
 
-@query("SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || 'Kept **' || source || '** [here](/a.html)' AS text FROM documents")
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(translate(x, chr(160) || chr(8203) || chr(65279), '   '), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, {_LINES} AS p FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, p, doc_id % 4 AS kind FROM l WHERE len(p) > 0)
+SELECT doc_id, CASE kind WHEN 0 THEN '# ' || doc_id || chr(10) || chr(10) || array_to_string(p, chr(10) || chr(10))
+  WHEN 1 THEN array_to_string(list_transform(p, lambda x: '- ' || x), chr(10))
+  WHEN 2 THEN '| ' || array_to_string(p, ' |' || chr(10) || '| ') || ' |'
+  ELSE '**' || array_to_string(p, '**' || chr(10) || '**') || '**' END AS text FROM k"""
+)
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages made from the documents' ids and sources, with navigation around the main part."""
-    page = F.concat(
-        F.lit('<html><head><title>x</title></head><body><nav><a href="/">Home</a></nav><main class="page__main wide"><h1>'), F.col("doc_id").cast("string"),
-        F.lit("</h1><p>Kept <b>"), F.col("source"), F.lit('</b> <a href="/a.html">here</a><script>var x = "<p>";</script></main><footer>end</body></html>'),
-    )
-    d = table(spark, sf_dir, "documents").select("doc_id", page.alias("html"), F.lit("wiki").alias("site"))
+    """Every document's whole text, escaped, as a page of one of four kinds of sites: paragraphs, a list, a table, or bold
+    lines in unclosed tags; navigation and scripts around the main part must go, the text must come back."""
+    plain = F.translate("text", "\xa0\u200b\ufeff", "   ")
+    lines = F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\s\x0b\x1c-\x1f\x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))), lambda x: x != "")
+    safe = F.transform(lines, lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    wrap = lambda a, z: F.concat(F.lit(a), F.array_join(safe, z + a), F.lit(z))
+    main = [
+        F.concat(F.lit('<main class="page__main wide"><h1>'), F.col("doc_id").cast("string"), F.lit("</h1>"), wrap("<p>", "</p>"), F.lit("<script>var x = \"<p>\";</script></main>")),
+        F.concat(F.lit('<div id="content" class="x ddc-main-content"><ul>'), wrap("<li>", "</li>"), F.lit("</ul></div>")),
+        F.concat(F.lit('<article id="main-content"><table>'), wrap("<tr><td>", "</td></tr>"), F.lit("</table></article>")),
+        F.concat(F.lit('<div class="card card-lg">'), wrap("<b>", "</b><br>"), F.lit("</div>")),
+    ]
+    site = F.element_at(F.array(*[F.lit(x) for x in ("wiki", "drugs", "clinic", "webcopy")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    body = F.element_at(F.array(*main), (F.col("doc_id") % 4 + 1).cast("int"))
+    page = F.concat(F.lit('<html><head><title>x</title></head><body><nav><a href="/">Home</a><ul><li>one<li>two</ul></nav>'), body, F.lit("<footer>end</body></html>"))
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.size(lines) > 0)).select("doc_id", page.alias("html"), site.alias("site"))
     return html.pages_to_markdown(d, "doc_id", "html", "site")
 
 

@@ -46,12 +46,13 @@ def entity_same_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_CANON}
 SELECT canonical_id AS id, min(entity_name) AS entity_name,
-       arg_min(entity_description, (e.entity_id, entity_description)) FILTER (trim(entity_description) <> '') AS entity_description, count(DISTINCT chunk_key) AS chunks
+       arg_min(entity_description, (e.entity_id, entity_description)) FILTER (trim(entity_description) <> '') AS entity_description, count(DISTINCT chunk_key) AS chunks,
+       coalesce(array_to_string(list_sort(list(DISTINCT chunk_key) FILTER (chunk_key IS NOT NULL)), ','), '') AS chunk_keys
 FROM e JOIN k USING (entity_id) GROUP BY canonical_id"""
 )
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir)
-    return graph.merge_entities(e, graph.same_name_map(e))
+    return graph.merge_entities(e, graph.same_name_map(e)).withColumn("chunk_keys", F.array_join("chunk_keys", ","))
 
 
 @query(
@@ -81,13 +82,13 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_INC}, nb AS (SELECT DISTINCT vertex, other FROM inc),
-bfs(seed, vertex, depth) AS (SELECT DISTINCT entity_id, entity_id, 0 FROM entities WHERE entity_name IS NULL
+bfs(seed, vertex, depth) AS (SELECT DISTINCT entity_id, entity_id, 0 FROM entities WHERE entity_id IS NOT NULL
   UNION SELECT seed, other, depth + 1 FROM bfs JOIN nb USING (vertex) WHERE depth < 2)
 SELECT seed, vertex, min(depth) AS depth FROM bfs GROUP BY seed, vertex"""
 )
 def subgraph_depth_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Around every entity without a name."""
-    seeds = table(spark, sf_dir, "entities").where("entity_name is null").select(F.col("entity_id").alias("seed"))
+    """Around every entity."""
+    seeds = table(spark, sf_dir, "entities").select(F.col("entity_id").alias("seed"))
     return graph.bounded_subgraph(_edges(spark, sf_dir), "left_entity_id", "right_entity_id", seeds, 2)
 
 
@@ -183,3 +184,38 @@ def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("judge").orderBy(F.col("is_same").desc_nulls_last(), F.col("score").desc_nulls_last(), "match_id")
     return _edges(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 20").select("judge", "is_same", "match_id", "place")
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT vec_id, chunk_key, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 96),
+u AS (SELECT * FROM v WHERE NOT list_bool_or(list_transform(e, lambda x: isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))), g AS (SELECT DISTINCT vec_id, source, e FROM u JOIN corpus USING (chunk_key) WHERE source IS NOT NULL)
+SELECT DISTINCT a.vec_id AS left_id, b.vec_id AS right_id FROM g a JOIN g b ON a.source = b.source AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.5"""
+)
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of one source with a cosine of at least 0.5."""
+    from lorewright.operators.retrieval import usable_vectors
+
+    v = table(spark, sf_dir, "chunk_vectors")
+    c = table(spark, sf_dir, "corpus").where("source is not null").select("chunk_key", "source").distinct()
+    u = v.where(usable_vectors(v, "embedding", 96)).select("vec_id", "chunk_key", "embedding").join(c, "chunk_key")
+    return graph.similar_entities(u, "vec_id", "embedding", F.col("source"), 0.5).select("left_id", "right_id").distinct()
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT source, entity_id FROM entities WHERE source IS NOT NULL), b AS (SELECT DISTINCT e.source, m.right_entity_id AS entity_id FROM entity_matches m JOIN entities e ON e.entity_id = m.left_entity_id
+  WHERE e.source IS NOT NULL AND m.right_entity_id IS NOT NULL)
+SELECT source, count(*) FILTER (b.entity_id IS NULL) AS missing, count(*) FILTER (a.entity_id IS NULL) AS extra FROM a FULL JOIN b USING (source, entity_id) GROUP BY source"""
+)
+def answer_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, entities that no match of its entities names, and named ones of other sources."""
+    e = table(spark, sf_dir, "entities").where("source is not null").select("source", "entity_id")
+    m = table(spark, sf_dir, "entity_matches").where("right_entity_id is not null").select(F.col("left_entity_id").alias("entity_id"), "right_entity_id")
+    told = m.join(e.distinct(), "entity_id").select("source", F.col("right_entity_id").alias("entity_id"))
+    return graph.id_check(e, told, "source", "entity_id")
+
+
+@query("SELECT DISTINCT entity_id, entity_name, dense_rank() OVER (ORDER BY entity_name, entity_id) - 1 AS place FROM entities WHERE entity_name IS NOT NULL AND entity_id IS NOT NULL")
+def entities_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities in the order of their names, each with its place, as a sink writes them."""
+    e = table(spark, sf_dir, "entities").where("entity_name is not null and entity_id is not null").select("entity_id", "entity_name").distinct()
+    return graph.running_ids(e, ["entity_name", "entity_id"], "place").select("entity_id", "entity_name", "place")

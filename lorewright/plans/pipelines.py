@@ -40,11 +40,11 @@ def prepare_corpus(documents: DataFrame, spec: list[tiers.Rule], tier: int, cfg:
     return c.withColumn("context", annotate.annotate(F.col("origin_context")))
 
 
-def stage(df: DataFrame, key: str, prompt: Column, parsed: Callable[[Column], Column], out: str, make=providers.Stub) -> DataFrame:
+def stage(df: DataFrame, key: str, prompt: Column, parsed: Callable[[Column], Column], out: str, make=providers.Stub, every: int | None = 10_000) -> DataFrame:
     """One model stage that takes up where it broke off: rows whose key the table at ``out`` lacks are asked, parsed and
-    appended. Returns the whole table (key, output, parsed)."""
-    asked = providers.complete(df.select(key, prompt.alias("_prompt")), "_prompt", "output", make).drop("_prompt")
-    return files.resume_append(asked.select(key, "output", parsed(F.col("output")).alias("parsed")), out, [key])
+    appended, ``every`` keys a commit. Returns the whole table (key, output, parsed)."""
+    work = lambda d: providers.complete(d, "_prompt", "output", make).select(key, "output", parsed(F.col("output")).alias("parsed"))
+    return files.resume_append(df.select(key, prompt.alias("_prompt")), out, [key], every, work)
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, query_id: str, query: str, doc_id: str, doc: str, dim: int, cfg: Config = Config(), make=providers.embed_stub) -> DataFrame:
