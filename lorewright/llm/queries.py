@@ -183,3 +183,51 @@ SQL["p7_checks"] = "SELECT doc_id, true AS pieces_right FROM documents"
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many containers there are, and how much of their room is used."""
     return containers.fill(containers.pack(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- SQL by brute force, for the small tables
+
+# NFKC as far as SQL has it: composed letters, full-width forms, ligatures
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_W = "regexp_extract_all(lower(regexp_replace(nfc_normalize(replace(replace(translate({0}, '" + _WIDE[0] + "', '" + _WIDE[1].replace("{", "{{").replace("}", "}}") + r"'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '\p{{Cf}}', '', 'g')), '[\p{{L}}\p{{N}}]+')"
+_EDGE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+SQL["p1_found"] = f"""
+WITH r AS (SELECT question_id AS id, split, question AS t FROM proposed_questions UNION ALL SELECT variant_id, split, result FROM rephrased_questions),
+s AS (SELECT DISTINCT id, regexp_replace(lower(split), '^{_EDGE}+|{_EDGE}+$', '', 'g') AS split, list_distinct({_W.format("t")}) AS w FROM r WHERE id IS NOT NULL AND t IS NOT NULL),
+e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM s WHERE split IN ('dev', 'test')), t AS (SELECT id, len(w) AS n, unnest(w) AS x FROM s WHERE split = 'train'),
+c AS (SELECT e.id AS a, t.id AS b, e.n AS na, t.n AS nb, count(*) AS shared FROM e JOIN t USING (x) GROUP BY ALL)
+SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM c WHERE shared >= 0.75 * (na + nb - shared) - 1e-9"""
+
+SQL["p3_found"] = """
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 96),
+u AS (SELECT * FROM v WHERE NOT list_bool_or(list_transform(e, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+k AS (SELECT a, b, s FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM k WHERE s >= 0.85"""
+
+_P5 = f"""
+WITH w AS (SELECT DISTINCT chunk_key, {_W.format("origin_context")} AS w FROM corpus WHERE chunk_key IS NOT NULL AND origin_context IS NOT NULL),
+g AS (SELECT chunk_key, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3),
+x AS (SELECT chunk_key, len(g) AS n, unnest(g) AS x FROM g),
+c AS (SELECT a.chunk_key AS a, b.chunk_key AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.x = b.x AND a.chunk_key < b.chunk_key GROUP BY ALL),
+f AS (SELECT a, b, shared = na AND shared = nb AS same FROM c WHERE shared >= 0.6 * (na + nb - shared) - 1e-9)"""
+SQL["p5_found"] = _P5 + " SELECT a AS chunk_key_a, b AS chunk_key_b FROM f"
+
+SQL["p5_groups"] = (
+    _P5.replace("WITH w AS", "WITH RECURSIVE w AS", 1)
+    + """,
+cl AS (SELECT g.chunk_key, coalesce(min(a), g.chunk_key) AS class_id FROM g LEFT JOIN f ON b = g.chunk_key AND same GROUP BY g.chunk_key),
+s AS (SELECT a, b, same FROM f UNION ALL SELECT b, a, same FROM f), reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+gr AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT class_id, count(*) AS copies FROM cl GROUP BY class_id),
+l AS (SELECT s.a, count(DISTINCT cl.class_id) AS links FROM s JOIN cl ON cl.chunk_key = s.b WHERE NOT same GROUP BY s.a)
+SELECT cl.chunk_key, cl.class_id, least(coalesce(m, cl.chunk_key), cl.chunk_key) AS group_id, copies, coalesce(links, 0) AS links
+FROM cl JOIN n USING (class_id) LEFT JOIN gr ON gr.a = cl.chunk_key LEFT JOIN l ON l.a = cl.chunk_key"""
+)
+
+SQL["p8_found"] = f"""
+WITH d AS (SELECT doc_id, {_W.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS x FROM d WHERE len(w) >= 13),
+i AS (SELECT item_id, {_W.format("question")} AS w FROM test_items WHERE question IS NOT NULL UNION SELECT item_id, {_W.format("passage")} FROM test_items WHERE passage IS NOT NULL),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS x FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (x) WHERE item_id IS NOT NULL"""
