@@ -67,8 +67,9 @@ def _vectors(col: pa.Array, dim: int) -> np.ndarray:
 # ---------------------------------------------------------------- the strings
 
 
-def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    """k spherical centres of x (fewer where x has fewer rows), in the order of their main direction."""
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 2) -> np.ndarray:
+    """k spherical centres of x (fewer where x has fewer rows), in the order of their main direction. After few rounds the
+    centres of different trees still differ, and with them the vectors that lie between two of them."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         of = np.argmax(x @ c.T, axis=1)
