@@ -46,8 +46,9 @@ class Retrying:
             left = []
             try:
                 got = self._ask([prompts[i] for i in todo])
-            except Exception:  # one prompt may spoil a batch: each is asked alone
-                got = [self._alone(prompts[i]) for i in todo]
+            except Exception as e:  # a passing failure: all are asked again; one that would last, of some prompt: each alone
+                lasting = self.skip and re.search(self.skip, str(e))
+                got = [self._alone(prompts[i]) for i in todo] if lasting else [None] * len(todo)
             for i, g in zip(todo, got):
                 if g is _SKIP:
                     continue
