@@ -129,16 +129,39 @@ def parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chunk_key", F.inline(parse.facts(out)))
 
 
-@query("WITH p AS (SELECT DISTINCT question_id, answer FROM proposed_questions WHERE answer IS NOT NULL) SELECT question_id, answer AS text FROM p")
+@query(
+    """WITH p AS (SELECT DISTINCT question_id, answer FROM proposed_questions WHERE answer IS NOT NULL)
+SELECT question_id, CASE question_id % 4 WHEN 0 THEN answer WHEN 1 THEN answer || '<think>open' WHEN 2 THEN answer || '!' ELSE '</think>' || answer END AS text FROM p"""
+)
 def strip_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of thought before the answer, one that never closes, two around it, and one inside another."""
+    a = F.col("answer")
+    said = [
+        F.concat(F.lit("<think>step\none < two</think>"), a),
+        F.concat(a, F.lit("<think>open")),
+        F.concat(F.lit("<think></think>"), a, F.lit("<think>b\n\n</think>!")),
+        F.concat(F.lit("<think>a <think>b</think></think>"), a),
+    ]
     q = _proposed(spark, sf_dir).where("answer is not null").select("question_id", "answer")
-    return q.select("question_id", text.strip_think(F.concat(F.lit("<think>step\none</think>"), F.col("answer"))).alias("text")).distinct()
+    return q.select("question_id", text.strip_think(F.element_at(F.array(*said), (F.col("question_id") % 4 + 1).cast("int"))).alias("text")).distinct()
 
 
-@query("WITH p AS (SELECT DISTINCT pair_id, top_k_value FROM preference_pairs) SELECT pair_id, '{\"a\": 1}' AS first_block, '{\"pair\": ' || pair_id || ', \"k\": [' || top_k_value || ', 2]}' AS largest FROM p")
+@query(
+    """WITH p AS (SELECT DISTINCT pair_id, top_k_value AS k FROM preference_pairs), x AS (SELECT *, pair_id % 5 AS kind FROM p)
+SELECT pair_id, CASE kind WHEN 0 THEN '{"a": 1}' WHEN 2 THEN '{"a": {"b": ' || pair_id || '}}' WHEN 3 THEN '{"k": ' || k || '}' WHEN 4 THEN '{not json}' END AS first_block,
+  CASE kind WHEN 0 THEN '{"pair": ' || pair_id || ', "k": [' || k || ', 2]}' WHEN 2 THEN '{"a": {"b": ' || pair_id || '}}' WHEN 3 THEN '[1, {"k": ' || k || '}]' WHEN 4 THEN '[' || pair_id || ']' END AS largest FROM x"""
+)
 def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON among text: several blocks, none that closes, nested ones, a bracket inside a string, and what isn't JSON."""
+    said = [
+        F.format_string('text {"a": 1} more {"pair": %d, "k": [%d, 2]} {broken', "pair_id", "top_k_value"),
+        F.format_string("no block {closes %d [here %d", "pair_id", "top_k_value"),
+        F.format_string('```json\n{"a": {"b": %d}} tail } ]', "pair_id"),
+        F.format_string('[1, {"k": %d}] and {"x": "}"}', "top_k_value"),
+        F.format_string("{not json} then [%d]", "pair_id"),
+    ]
     p = table(spark, sf_dir, "preference_pairs").select("pair_id", "top_k_value").distinct()
-    out = F.format_string('text {"a": 1} more {"pair": %d, "k": [%d, 2]} {broken', "pair_id", "top_k_value")
+    out = F.element_at(F.array(*said), (F.col("pair_id") % 5 + 1).cast("int"))
     return p.select("pair_id", parse.first_json_block(out).alias("first_block"), parse.largest_json(out).alias("largest"))
 
 

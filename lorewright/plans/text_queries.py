@@ -161,7 +161,21 @@ def sentence_annotate_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chunk_key", annotate.annotate_plain(F.col("origin_context")).alias("context")).distinct()
 
 
-@query()
+_MARK = rf"regexp_replace(regexp_replace(q, '{_B}+$', '') || ' ' || chr(3), '([.!?]) \x03$', ' ' || chr(3) || '\1')"
+_PROSE = f"array_to_string(list_transform(string_split({{0}}, chr(10)), lambda ln: array_to_string(list_transform({_LINE_SENTS.format('ln').replace('{', '{{').replace('}', '}}')}, lambda q: {_MARK}), ' ')), chr(10))"
+_CELLS = rf"list_filter(list_transform(string_split(replace({_TRIM.format('r')}, '\|', chr(4)), '|'), lambda c: replace({_TRIM.format('c')}, chr(4), '\|')), lambda c: c <> '')"
+_ROWS = f"array_to_string(list_transform(string_split({_TRIM.format('s[1]')}, chr(10)), lambda r: '| ' || array_to_string(list_transform({_CELLS}, lambda k: replace({_PROSE.format('k')}, chr(10), ' ')), ' | ') || ' |'), chr(10))"
+
+
+@query(
+    rf"""WITH c AS (SELECT DISTINCT chunk_key, translate(origin_context, chr(1) || chr(2) || chr(3) || chr(4), '    ') AS t FROM corpus),
+p AS (SELECT chunk_key, string_split(regexp_replace(t, '(?m)((?:^\|.*\|(?:\n|$))+)|(!\[.*?\]\(.*?\))', chr(1) || '\1' || chr(2) || '\2' || chr(1), 'g'), chr(1)) AS p FROM c WHERE t IS NOT NULL),
+e AS (SELECT chunk_key, string_split(unnest(p), chr(2)) AS s, unnest(range(1, len(p) + 1)) AS i FROM p),
+g AS (SELECT chunk_key, i, CASE WHEN i % 2 = 0 THEN CASE WHEN s[1] <> '' THEN {_ROWS} ELSE s[2] || ' ' || chr(3) END WHEN s[1] <> '' THEN {_PROSE.format('s[1]')} END AS g FROM e),
+j AS (SELECT chunk_key, string_split(coalesce(string_agg(g, chr(10) ORDER BY i), ''), chr(3)) AS q FROM g GROUP BY chunk_key)
+SELECT chunk_key, array_to_string(list_transform(range(1, len(q) + 1), lambda k: CASE WHEN k = 1 THEN q[k] ELSE '[Sen ' || (k - 1) || ']' || q[k] END), '') AS context FROM j
+UNION ALL SELECT chunk_key, NULL FROM c WHERE t IS NULL"""
+)
 def sentence_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.annotated(table(spark, sf_dir, "corpus"), "chunk_key", "origin_context").distinct()
 
