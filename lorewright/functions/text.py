@@ -70,14 +70,15 @@ def bpe_tokens(ranks: str, pattern: str) -> Callable[[Column], Column]:
 
     @pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
-        enc = _encoding(ranks, pattern)
+        enc = encoding(ranks, pattern)
         return s.map(lambda x: None if x is None else _pieces(enc, x))
 
     return cut
 
 
 @lru_cache(2)
-def _encoding(ranks: str, pattern: str):
+def encoding(ranks: str, pattern: str):
+    """A byte-level BPE from a file of ranks, loaded once per process."""
     import tiktoken
 
     with open(ranks, "rb") as f:
@@ -137,15 +138,15 @@ def fill(template: Column, **values: Column) -> Column:
     return template
 
 
-def packed(t: Column, limit: int = 4000) -> Column:
+def packed(t: Column, limit: int = 4000, tokenize: Callable[[Column], Column] = tokens) -> Column:
     """Greedy packing to chunks of at most ``limit`` tokens, paragraph by paragraph; a paragraph beyond the limit goes sentence
     by sentence. What closes a chunk decides how its parts are joined: a sentence ". ", a paragraph a newline, the end of the
     text a blank; an overflow before anything is held gives an empty chunk."""
 
     def units(p: Column) -> Column:
-        n = token_count(p)
+        n = token_count(p, tokenize)
         whole = F.array(F.struct(p.alias("t"), n.alias("n"), F.lit("\n").alias("sep")))
-        cut = F.transform(sentences_at_blank(p), lambda s: F.struct(s.alias("t"), token_count(s).alias("n"), F.lit(". ").alias("sep")))
+        cut = F.transform(sentences_at_blank(p), lambda s: F.struct(s.alias("t"), token_count(s, tokenize).alias("n"), F.lit(". ").alias("sep")))
         return F.when(n > limit, cut).otherwise(whole)
 
     empty = F.array().cast("array<string>")
