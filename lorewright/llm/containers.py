@@ -13,27 +13,22 @@ of equal free space go to the one filled last; repeated rows are packed as often
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.functions.text import encoding
+
 #: pre-tokenization pattern that belongs to the default vocabulary (see its folder)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-@lru_cache(2)
 def tokenizer(path: str = TOKENIZER, pattern: str = PATTERN):
     """A byte-level BPE from a file of ranks."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("lorewright", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return encoding(path, pattern)
 
 
 class BestFit:
