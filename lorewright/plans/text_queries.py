@@ -68,7 +68,29 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.link_targets(F.col("text"))).alias("target"))
 
 
-@query()
+def _rewritten(t: str, images: bool) -> str:
+    """One call of rewrite_links in SQL, which has no look-around: absolute targets are marked by chr(2), the brackets of images by
+    chr(3), and backslashes are mended in what stands between a bracket and its end."""
+    head = r"!\[[^\]\n]*\]\(" if images else r"\[[^\]\n]*\]\("
+    x = t if images else f"replace({t}, '![', chr(3))"
+    x = f"regexp_replace({x}, '({head})(https?:|#|mailto:)', '\\1' || chr(2) || '\\2', 'g')"
+    x = f"regexp_replace({x}, '({head})[/\\\\]*((?:[^\x02)/\\\\\n][^)\n]*)?)\\)', '\\1' || chr(1) || '/\\2)', 'g')"
+    if not images:
+        x = f"regexp_replace({x}, '(\x01/[^)\n]*\\.(?:pdf|html|htm))\\)', '\\1.md)', 'g')"
+    x = f"list_transform(string_split(replace(replace({x}, chr(2), ''), chr(3), '!['), ')'), lambda p, i: struct_pack(p := p, i := i))"
+    return x
+
+
+def _mended(parts: str) -> str:
+    tail = r"regexp_extract(y.p, '[^()\n]*$')"
+    return f"replace(list_aggregate(list_transform({parts}, lambda y: CASE WHEN y.i = len({parts}) THEN y.p ELSE left(y.p, length(y.p) - length({tail})) || replace({tail}, '\\', '/') END), 'string_agg', ')'), chr(1), base)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text AS t, regexp_replace(regexp_extract(url, '^(https?://[^/]+)', 1), '/+$', '') AS base FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, base, {_rewritten("t", True)} AS p FROM d), b AS (SELECT doc_id, base, {_mended("p")} AS t FROM a),
+c AS (SELECT doc_id, base, {_rewritten("t", False)} AS p FROM b) SELECT doc_id, {_mended("p")} AS text FROM c"""
+)
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
     base = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
