@@ -131,6 +131,12 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(_splits(spark, sf_dir))
 
 
+@query
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of p1_report."""
+    return overlap.overlap_report(_splits(spark, sf_dir)).select("split", "source", "records", "overlapping", "pairs")
+
+
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "test_items"), "item_id", ["question", "passage"])
@@ -199,6 +205,12 @@ e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM s WHERE split IN ('dev', 'test
 c AS (SELECT e.id AS a, t.id AS b, e.n AS na, t.n AS nb, count(*) AS shared FROM e JOIN t USING (x) GROUP BY ALL)
 SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM c WHERE shared >= 0.75 * (na + nb - shared) - 1e-9"""
 
+SQL["p1_counts"] = SQL["p1_found"].split("SELECT DISTINCT least(a, b)")[0] + f""",
+k AS (SELECT DISTINCT a, b FROM c WHERE shared >= 0.75 * (na + nb - shared) - 1e-9), o AS (SELECT a, count(*) AS n FROM k GROUP BY a),
+q AS (SELECT question_id AS id, split, source FROM proposed_questions UNION SELECT variant_id, split, source FROM rephrased_questions),
+i AS (SELECT DISTINCT id, regexp_replace(lower(split), '^{_EDGE}+|{_EDGE}+$', '', 'g') AS split, source FROM q)
+SELECT split, source, count(*) AS records, count(o.a) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM i LEFT JOIN o ON o.a = i.id WHERE split IN ('dev', 'test') GROUP BY split, source"""
+
 SQL["p3_found"] = """
 WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 96),
 u AS (SELECT * FROM v WHERE NOT list_bool_or(list_transform(e, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
